@@ -42,6 +42,10 @@ HELD = 1 << 18
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+def _times(k: int) -> np.uint64:
+    return np.uint64(k * int(_SALT[1]) % (1 << 64))
+
+
 def shared_least(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
@@ -95,7 +99,7 @@ def subset_keys(h: np.ndarray, light: int, percent: int) -> list[np.ndarray]:
         else:
             at = np.array(list(combinations(range(len(h)), gone)), np.int64)
             sums = whole - m[at].sum(axis=1, dtype=np.uint64)
-        out.append(mix64(sums + np.uint64(c) * _SALT[1]))
+        out.append(mix64(sums + _times(c)))
     return out
 
 
@@ -111,7 +115,7 @@ def part_keys(h: np.ndarray, ends: np.ndarray, percent: int) -> list[np.ndarray]
         empty = np.setdiff1d(np.arange(parts), filled)
         if len(empty) > SPARE:
             filled, sums = np.concatenate((filled, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-        out.append(mix64(mix64(sums + np.uint64(cls) * _SALT[1]) + filled.astype(np.uint64) * _SALT[0]))
+        out.append(mix64(mix64(sums + _times(cls)) + filled.astype(np.uint64) * _SALT[0]))
     return out
 
 

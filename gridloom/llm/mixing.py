@@ -108,25 +108,25 @@ WITH RECURSIVE c AS (
 ), a AS (
   SELECT list(w ORDER BY i) AS ws, any_value(period) AS period FROM k
 ), e(t, nxt, pick) AS (
-  SELECT CAST(-1 AS BIGINT), list_transform(ws, x -> CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM a
+  SELECT CAST(-1 AS BIGINT), list_transform(ws, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM a
   UNION ALL
-  SELECT t + 1, list_transform(nxt, (x, i) -> CASE WHEN i = p THEN x + 1 ELSE x END), p FROM (
+  SELECT t + 1, list_transform(nxt, lambda x, i: CASE WHEN i = p THEN x + 1 ELSE x END), p FROM (
     SELECT e.t, e.nxt, (list_sort(list_filter(
-        list_transform(range(1, len(ws) + 1), i -> CASE WHEN nxt[i] < ws[i] AND (nxt[i] * period) // ws[i] <= t + 1
-          THEN [((nxt[i] + 1) * period + ws[i] - 1) // ws[i], i] END), x -> x IS NOT NULL)))[1][2] AS p
+        list_transform(range(1, len(ws) + 1), lambda i: CASE WHEN nxt[i] < ws[i] AND (nxt[i] * period) // ws[i] <= t + 1
+          THEN [((nxt[i] + 1) * period + ws[i] - 1) // ws[i], i] END), lambda x: x IS NOT NULL)))[1][2] AS p
     FROM e, a WHERE t + 1 < period)
 ), p AS (
-  SELECT t AS at, pick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM e WHERE t >= 0
+  SELECT t AS place, pick, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS j FROM e WHERE t >= 0
 ), s AS (
-  SELECT k.source, k.n, k.w, k.period, p.j, p.at FROM p JOIN k ON k.i = p.pick
+  SELECT k.source, k.n, k.w, k.period, p.j, p.place FROM p JOIN k ON k.i = p.pick
 ), f AS (
-  SELECT min((((n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS}) // w) * period + at) AS stop FROM s WHERE ((n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS}) % w = j
+  SELECT min((((n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS}) // w) * period + place) AS stop FROM s WHERE ((n + {BLOCK_ROWS} - 1) // {BLOCK_ROWS}) % w = j
 ), r AS (
   SELECT doc_id, source, row_number() OVER (PARTITION BY source
     ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), doc_id NULLS FIRST) - 1 AS source_rank FROM documents
 ), b AS (
   SELECT r.doc_id, r.source, r.source_rank, r.source_rank // {BLOCK_ROWS} AS block, k.w FROM r JOIN k ON k.source IS NOT DISTINCT FROM r.source
 )
-SELECT b.doc_id, b.source, b.source_rank, b.block, (b.block // b.w) * s.period + s.at AS slot, (b.block // b.w) * s.period + s.at < f.stop AS mixed
+SELECT b.doc_id, b.source, b.source_rank, b.block, (b.block // b.w) * s.period + s.place AS slot, (b.block // b.w) * s.period + s.place < f.stop AS mixed
 FROM b JOIN s ON s.source IS NOT DISTINCT FROM b.source AND s.j = b.block % b.w, f
 """

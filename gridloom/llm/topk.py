@@ -67,9 +67,9 @@ def _pieces(ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield ids[at : at + ROWS], c[at : at + ROWS]
 
 
-def _histograms(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """Counts of scores by query and bin; bin b holds low + b * width up to the next one's start. Scores above the last bin
-    are known from before and are left out, as are those below the first."""
+def _histograms(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int, low: np.ndarray, width: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Counts of scores by query and bin; bin b holds low + b * width up to the next one's start. Scores from high on
+    are known from before and are left out, as are those below low."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(qid), BINS), np.int64)
@@ -78,14 +78,15 @@ def _histograms(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int,
         for batch in batches:
             for ids, c in _pieces(*_matrix(batch, q.shape[1])):
                 seen = True
-                b = (score(c) - low[:, None]) // width[:, None]
-                ok = (b >= 0) & (b < BINS) & (ids[None, :] != qid[:, None])
+                found = score(c)
+                b = (found - low[:, None]) // width[:, None]
+                ok = (b >= 0) & (b < BINS) & (found < high[:, None]) & (ids[None, :] != qid[:, None])
                 total += np.bincount((b + rows)[ok], minlength=total.size).reshape(total.shape)
         if seen:
             parts = range(0, len(qid), SLICE)
             yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "counts": pa.array([total[p : p + SLICE].tobytes() for p in parts], pa.binary())})
 
-    def add(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: np.ndarray | int = 0
         for batch in batches:
             for x in batch.column(1):
@@ -104,12 +105,13 @@ def _kth_values(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int,
     """Each query's kth highest score, or a value below all scores when there are fewer candidates."""
     bound = np.abs(q).sum(axis=1) * largest
     low = -bound
+    high = bound + 1
     width = np.maximum(1, -(-(2 * bound + 1) // BINS))
     need = np.full(len(qid), k, np.int64)
     done = np.zeros(len(qid), bool)
     while not done.all():
         live = np.flatnonzero(~done)
-        counts = _histograms(cands, qid[live], q[live], largest, low[live], width[live])
+        counts = _histograms(cands, qid[live], q[live], largest, low[live], width[live], high[live])
         from_top = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
         for i, row, upper in zip(live, counts, from_top, strict=True):
             if upper[0] < need[i]:
@@ -118,6 +120,7 @@ def _kth_values(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int,
             b = int(np.flatnonzero(upper >= need[i])[-1])
             need[i] -= upper[b] - row[b]
             low[i] += b * width[i]
+            high[i] = min(high[i], low[i] + width[i])
             if width[i] == 1:
                 done[i] = True
             width[i] = max(1, -(-width[i] // BINS))
@@ -191,10 +194,10 @@ def op9_topk(spark, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), x -> x[1] * x[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda x: x[1] * x[2])) AS BIGINT) AS score
   FROM (SELECT DISTINCT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
 ), r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
