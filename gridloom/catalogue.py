@@ -2,10 +2,102 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom import functions as C
+from gridloom.operators import segment as S
+from gridloom.sources import sparse_grid
+
+
+def seg_row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = S.row_bands(sparse_grid(spark, sf_dir))
+    return bands.groupBy("sheet_id", "band").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("n_rows"))
+
+
+def seg_column_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = sparse_grid(spark, sf_dir)
+    stripes = S.column_stripes(cells.join(S.row_bands(cells), ["sheet_id", "r"]))
+    return stripes.groupBy("sheet_id", "band", "stripe").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
+
+
+def seg_three_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.three_level(sparse_grid(spark, sf_dir))
+
+
+def ord_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.deferred_order(S.three_level(sparse_grid(spark, sf_dir))).select("sheet_id", "seg_ord", "deferred", "out_ord")
+
+
+def seg_isolated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.isolated_cells(sparse_grid(spark, sf_dir))
+
+
+def hdr_single_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.header_row(sparse_grid(spark, sf_dir))
+
+
+def fn_column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_partkey") % 16384).cast("int").alias("n")).distinct()
+    return ids.select("n", C.column_letters(F.col("n")).alias("letters"))
+
+
+def fn_markdown_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", C.markdown_escape(F.col("text")).alias("cell"))
+
+
+def cls_title_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "v"))
+    return docs.groupBy("doc_id").agg(F.sum(C.title_like(F.col("v")).cast("long")).alias("titles"), F.count("*").alias("lines"))
+
 
 def queries() -> dict:
-    return {}
+    own = (seg_row_bands, seg_column_stripes, seg_three_level, ord_deferred, seg_isolated_cells, hdr_single_row, fn_column_letters, fn_markdown_escape, cls_title_like)
+    return {f.__name__: f for f in own}
+
+
+_CELLS = """
+cells AS (SELECT l_orderkey // 100 AS sheet_id, l_orderkey % 100 AS r, CAST(l_linenumber - 1 AS BIGINT) AS c, CAST(CAST(min(l_quantity) AS INT) AS VARCHAR) AS v
+  FROM lineitem WHERE l_quantity <= 15 GROUP BY 1, 2, 3)"""
+_BANDS = _CELLS + """,
+rws AS (SELECT DISTINCT sheet_id, r FROM cells),
+marked AS (SELECT *, r - coalesce(lag(r) OVER (PARTITION BY sheet_id ORDER BY r), r) > 2 AS cut FROM rws),
+bands AS (SELECT sheet_id, r, count(*) FILTER (WHERE cut) OVER (PARTITION BY sheet_id ORDER BY r) AS band FROM marked)"""
+_STRIPES = _BANDS + """,
+cols AS (SELECT DISTINCT sheet_id, band, c FROM cells JOIN bands USING (sheet_id, r)),
+isl AS (SELECT *, c - row_number() OVER (PARTITION BY sheet_id, band ORDER BY c) AS g FROM cols),
+stripes AS (SELECT sheet_id, band, c, dense_rank() OVER (PARTITION BY sheet_id, band ORDER BY g) - 1 AS stripe FROM isl)"""
+_SEGS = _STRIPES + """,
+placed AS (SELECT DISTINCT sheet_id, band, stripe, r FROM cells JOIN bands USING (sheet_id, r) JOIN stripes USING (sheet_id, band, c)),
+cuts AS (SELECT *, r - coalesce(lag(r) OVER (PARTITION BY sheet_id, band, stripe ORDER BY r), r) > 2 AS cut FROM placed),
+parts AS (SELECT *, count(*) FILTER (WHERE cut) OVER (PARTITION BY sheet_id, band, stripe ORDER BY r) AS part FROM cuts),
+boxes AS (SELECT sheet_id, band, stripe, part, min(r) AS r0, max(r) AS r1 FROM parts GROUP BY ALL),
+wide AS (SELECT sheet_id, band, stripe, min(c) AS c0, max(c) AS c1 FROM stripes GROUP BY ALL),
+edge AS (SELECT sheet_id, band, min(r) AS first, max(r) AS last FROM bands GROUP BY ALL),
+counts AS (SELECT b.sheet_id, b.band, b.stripe, b.part, count(*) AS n_cells FROM boxes b JOIN wide w USING (sheet_id, band, stripe)
+  JOIN cells x ON x.sheet_id = b.sheet_id AND x.r BETWEEN b.r0 AND b.r1 AND x.c BETWEEN w.c0 AND w.c1 GROUP BY ALL),
+segs AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY band, stripe, part) - 1 AS seg_ord,
+  row_number() OVER (PARTITION BY sheet_id, band ORDER BY stripe, part) = 1 AS lead,
+  r0 - coalesce(lag(r1) OVER (PARTITION BY sheet_id, band, stripe ORDER BY part) + 1, first) AS own,
+  coalesce(first - 2 - (SELECT e.last FROM edge e WHERE e.sheet_id = s.sheet_id AND e.band = s.band - 1), first) AS between_
+  FROM boxes s JOIN wide USING (sheet_id, band, stripe) JOIN edge USING (sheet_id, band) JOIN counts USING (sheet_id, band, stripe, part)),
+final AS (SELECT sheet_id, CAST(seg_ord AS INT) AS seg_ord, r0, r1, c0, c1, n_cells, CASE WHEN lead AND own = 0 THEN between_ ELSE own END AS gap FROM segs)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "seg_row_bands": f"WITH {_BANDS} SELECT sheet_id, band, min(r) AS r0, max(r) AS r1, count(*) AS n_rows FROM bands GROUP BY sheet_id, band",
+        "seg_column_stripes": f"WITH {_STRIPES} SELECT sheet_id, band, stripe, min(c) AS c0, max(c) AS c1 FROM stripes GROUP BY ALL",
+        "seg_three_level": f"WITH {_SEGS} SELECT * FROM final",
+        "ord_deferred": f"""WITH {_SEGS}, d AS (SELECT *, gap >= 2 AND NOT EXISTS (SELECT 1 FROM final n WHERE n.sheet_id = f.sheet_id AND n.seg_ord = f.seg_ord + 1 AND n.gap < 2) AS deferred FROM final f)
+SELECT sheet_id, seg_ord, deferred, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY deferred, seg_ord) - 1 AS INT) AS out_ord FROM d""",
+        "seg_isolated_cells": f"""WITH {_CELLS} SELECT sheet_id, r, c, v FROM cells x
+WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.sheet_id = x.sheet_id AND (y.r = x.r AND y.c <> x.c OR y.r = x.r - 1 OR y.r = x.r + 1))""",
+        "hdr_single_row": f"WITH {_CELLS} SELECT sheet_id, min(r) AS header_row FROM cells GROUP BY sheet_id",
+        "fn_column_letters": """SELECT DISTINCT n, CASE WHEN n < 26 THEN chr(65 + n) WHEN n < 702 THEN chr(64 + n // 26) || chr(65 + n % 26)
+  ELSE chr(64 + (n - 26) // 676) || chr(65 + (n - 26) // 26 % 26) || chr(65 + n % 26) END AS letters FROM (SELECT CAST(p_partkey % 16384 AS INT) AS n FROM part)""",
+        "fn_markdown_escape": "SELECT doc_id, replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), ' ') AS cell FROM documents",
+        "cls_title_like": """WITH l AS (SELECT doc_id, trim(v, ' ') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, CAST(sum(CAST(regexp_matches(t, '^[■◾▪•·-]') OR regexp_matches(regexp_replace(t, '\\s+', '', 'g'), '^(19|20)[0-9]{2}(년|$)') OR starts_with(t, '년') OR starts_with(t, '~')
+  OR (contains(t, '패널') AND length(t) <= 15) AS INT)) AS BIGINT) AS titles, count(*) AS lines FROM l GROUP BY doc_id""",
+    }

@@ -1,0 +1 @@
+"""Streaming forms. The engine that sets the scope has none."""
