@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import functions as C
+from gridloom.operators import graph as G
+from gridloom.operators import language as L
+from gridloom.operators import merges as M
 from gridloom.operators import segment as S
-from gridloom.sources import sparse_grid
+from gridloom.sources import delimited, merge_regions, sparse_grid
 
 
 def seg_row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +54,65 @@ def cls_title_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.sum(C.title_like(F.col("v")).cast("long")).alias("titles"), F.count("*").alias("lines"))
 
 
+def seg_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.graph_segments(sparse_grid(spark, sf_dir))
+
+
+def seg_graph_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.graph_segments(sparse_grid(spark, sf_dir), None)
+
+
+def grid_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.merged_grid(sparse_grid(spark, sf_dir), merge_regions(spark, sf_dir))
+
+
+def seg_merge_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.clipped_merges(S.three_level(sparse_grid(spark, sf_dir)), merge_regions(spark, sf_dir))
+
+
+def hdr_merge_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.header_rows(grid_merged(spark, sf_dir), merge_regions(spark, sf_dir))
+
+
+def fn_range_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = merge_regions(spark, sf_dir)
+    return m.select("sheet_id", "ord", C.range_ref(*[F.col(c) for c in ("r0", "c0", "r1", "c1")]).alias("region"))
+
+
+def lang_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("v"))
+    return L.languages(docs)
+
+
+def fn_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", C.sanitize(F.col("html")).alias("v"))
+
+
+def fn_cjk_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("o_orderkey") * F.col("o_custkey") - 5000).alias("n")
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(n).distinct().select("n", C.cjk_number(F.col("n")).alias("numeral"), C.cjk_digits(F.col("n").cast("string")).alias("digits"))
+
+
+def fn_sniff_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", C.sniff_delimiter(F.col("text")).alias("delimiter"))
+
+
+def src_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of line items written as delimited text, one text an order, and read back."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(";", F.col("l_linenumber").cast("string"), quote("l_linestatus"), F.col("l_returnflag"))
+    texts = items.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\r\n").alias("text"))
+    rows = delimited.delimited_rows(texts).select("l_orderkey", F.explode("rows").alias("f"))
+    return rows.select("l_orderkey", *[F.col("f")[i].alias(n) for i, n in enumerate(("line", "status", "flag"))])
+
+
 def queries() -> dict:
-    own = (seg_row_bands, seg_column_stripes, seg_three_level, ord_deferred, seg_isolated_cells, hdr_single_row, fn_column_letters, fn_markdown_escape, cls_title_like)
+    own = (
+        seg_row_bands, seg_column_stripes, seg_three_level, seg_graph, seg_graph_apart, seg_merge_clip, ord_deferred, seg_isolated_cells, grid_merged,
+        hdr_single_row, hdr_merge_aware, fn_column_letters, fn_range_ref, fn_markdown_escape, fn_sanitize, fn_cjk_number, fn_sniff_delimiter,
+        cls_title_like, lang_documents, src_delimited,
+    )
     return {f.__name__: f for f in own}
 
 
@@ -83,6 +143,37 @@ segs AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY band, strip
   FROM boxes s JOIN wide USING (sheet_id, band, stripe) JOIN edge USING (sheet_id, band) JOIN counts USING (sheet_id, band, stripe, part)),
 final AS (SELECT sheet_id, CAST(seg_ord AS INT) AS seg_ord, r0, r1, c0, c1, n_cells, CASE WHEN lead AND own = 0 THEN between_ ELSE own END AS gap FROM segs)"""
 
+_MERGES = """
+merges AS (SELECT o_orderkey // 100 AS sheet_id, o_orderkey AS ord, o_orderkey % 100 AS r0, least(o_orderkey % 100 + o_custkey % 3, 99) AS r1,
+  CAST(0 AS BIGINT) AS c0, o_custkey % 5 AS c1 FROM orders WHERE o_orderkey % 7 = 0)"""
+_GRID = f"""{_CELLS}, {_MERGES},
+spans AS (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM merges), covered AS (SELECT *, unnest(range(c0, c1 + 1)) AS c FROM spans),
+marks AS (SELECT sheet_id, r, c, CASE WHEN r <> r0 THEN '^' ELSE '' END || CASE WHEN c <> c0 THEN '<' ELSE '' END AS marker FROM covered),
+grid AS (SELECT * FROM (SELECT sheet_id, r, c, coalesce(nullif(marker, ''), v) AS v FROM cells FULL JOIN marks USING (sheet_id, r, c)) WHERE v IS NOT NULL)"""
+_BOXES = _CELLS + """,
+reach AS (SELECT sheet_id, r AS r1, c AS c1, r, c FROM cells UNION
+  SELECT x.sheet_id, x.r1, x.c1, y.r, y.c FROM reach x JOIN cells y ON x.sheet_id = y.sheet_id AND abs(x.r - y.r) + abs(x.c - y.c) = 1),
+roots AS (SELECT sheet_id, r, c, min(r1 * 1000 + c1) AS root FROM reach GROUP BY ALL),
+boxes AS (SELECT sheet_id, root, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM roots GROUP BY ALL)"""
+_NUMBERED = """SELECT sheet_id, row_number() OVER w - 1 AS seg_ord, r0, r1, c0, c1,
+  CAST(CASE WHEN lag(r1) OVER w IS NULL THEN r0 ELSE greatest(0, r0 - lag(r1) OVER w - 1) END AS BIGINT) AS gap FROM {} WINDOW w AS (PARTITION BY sheet_id ORDER BY r0, c0, {})"""
+
+
+def _numeral() -> str:
+    """SQL of a numeral by its digits, written apart from the column function: the zeros between two digits of a group of
+    four put one zero before the upper digit."""
+    def group(g: str, big: str) -> str:
+        d = [f"({g} // {10**k} % 10)" for k in range(4)]
+        digit = [
+            f"CASE WHEN {d[k]} = 0 THEN '' ELSE " + (f"CASE WHEN {d[k - 1]} = 0 AND {g} % {10 ** k} > 0 THEN '零' ELSE '' END || " if k else "") + f"substr('零一二三四五六七八九', CAST({d[k]} + 1 AS BIGINT), 1) || '{u}' END"
+            for k, u in enumerate(("", "十", "百", "千"))
+        ]
+        text = " || ".join(digit[::-1])
+        return f"CASE WHEN {g} = 0 THEN '' WHEN {g} BETWEEN 10 AND 19 THEN substr({text}, 2) || '{big}' ELSE {text} || '{big}' END"
+
+    parts = [group(f"(abs(n) // {10_000**k} % 10000)", big) for k, big in enumerate(("", "万", "億"))]
+    return f"CASE WHEN n = 0 THEN '零' ELSE CASE WHEN n < 0 THEN '負' ELSE '' END || {' || '.join(f'({x})' for x in parts[::-1])} END"
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -96,7 +187,42 @@ WHERE NOT EXISTS (SELECT 1 FROM cells y WHERE y.sheet_id = x.sheet_id AND (y.r =
         "hdr_single_row": f"WITH {_CELLS} SELECT sheet_id, min(r) AS header_row FROM cells GROUP BY sheet_id",
         "fn_column_letters": """SELECT DISTINCT n, CASE WHEN n < 26 THEN chr(65 + n) WHEN n < 702 THEN chr(64 + n // 26) || chr(65 + n % 26)
   ELSE chr(64 + (n - 26) // 676) || chr(65 + (n - 26) // 26 % 26) || chr(65 + n % 26) END AS letters FROM (SELECT CAST(p_partkey % 16384 AS INT) AS n FROM part)""",
-        "fn_markdown_escape": "SELECT doc_id, replace(replace(coalesce(text, ''), '|', '\\|'), chr(10), ' ') AS cell FROM documents",
+        "seg_graph_apart": f"WITH RECURSIVE {_BOXES} {_NUMBERED.format('boxes', 'root')}",
+        "seg_graph": f"""WITH RECURSIVE {_BOXES},
+q AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY r0, root) AS i FROM boxes),
+sweep AS (SELECT sheet_id, i, 1 AS g, r0, r1, c0, c1 FROM q WHERE i = 1 UNION ALL
+  SELECT sheet_id, i, CASE WHEN j THEN g ELSE g + 1 END, CASE WHEN j THEN least(r0, a) ELSE a END, CASE WHEN j THEN greatest(r1, b) ELSE b END,
+    CASE WHEN j THEN least(c0, d) ELSE d END, CASE WHEN j THEN greatest(c1, e) ELSE e END
+  FROM (SELECT s.sheet_id, q.i, s.g, s.r0, s.r1, s.c0, s.c1, q.r0 AS a, q.r1 AS b, q.c0 AS d, q.c1 AS e,
+      q.r0 <= s.r1 + 1 AND q.c0 <= s.c1 + 1 AND q.c1 >= s.c0 - 1 AS j FROM sweep s JOIN q ON q.sheet_id = s.sheet_id AND q.i = s.i + 1)),
+swept AS (SELECT sheet_id, g, max_by(r0, i) AS r0, max_by(r1, i) AS r1, max_by(c0, i) AS c0, max_by(c1, i) AS c1 FROM sweep GROUP BY ALL)
+{_NUMBERED.format('swept', 'g')}""",
+        "grid_merged": f"WITH {_GRID} SELECT * FROM grid",
+        "seg_merge_clip": f"""WITH {_SEGS}, {_MERGES} SELECT f.sheet_id, f.seg_ord, m.ord, greatest(m.r0, f.r0) - f.r0 AS r0, least(m.r1, f.r1) - f.r0 AS r1,
+  greatest(m.c0, f.c0) - f.c0 AS c0, least(m.c1, f.c1) - f.c0 AS c1
+FROM final f JOIN merges m ON f.sheet_id = m.sheet_id AND m.r0 <= f.r1 AND m.r1 >= f.r0 AND m.c0 <= f.c1 AND m.c1 >= f.c0""",
+        "hdr_merge_aware": f"""WITH {_GRID}, plain AS (SELECT * FROM grid WHERE v NOT IN ('<', '^', '^<')),
+wide AS (SELECT sheet_id, max(c) + 1 AS cols, max(r) AS last FROM grid GROUP BY ALL),
+lines AS (SELECT sheet_id, r, count(*) AS n, count(DISTINCT v) AS kinds, min(v) AS v FROM plain GROUP BY ALL),
+judged AS (SELECT *, lead(n) OVER (PARTITION BY sheet_id ORDER BY r) AS next, kinds = 1 AND cols >= 4 AND (length(v) >= 40 OR EXISTS (SELECT 1 FROM merges m
+  WHERE m.sheet_id = l.sheet_id AND m.r0 = l.r AND m.r1 = l.r AND m.c0 = 0 AND m.c1 + 1 >= greatest(4, cols // 2))) AS banner FROM lines l JOIN wide USING (sheet_id)),
+start AS (SELECT sheet_id, min(r) AS header_start, any_value(last) AS last FROM judged WHERE NOT (banner AND coalesce(next >= greatest(3, n + 2), false)) GROUP BY ALL)
+SELECT sheet_id, header_start, (SELECT count(DISTINCT x) FROM (SELECT s.header_start AS x UNION ALL
+  SELECT unnest(range(m.r0, least(m.r1, s.last) + 1)) FROM merges m WHERE m.sheet_id = s.sheet_id AND m.r1 > m.r0 AND s.header_start BETWEEN m.r0 AND m.r1)) AS header_rows FROM start s""",
+        "fn_range_ref": f"""WITH {_MERGES} SELECT sheet_id, ord, chr(CAST(65 + c0 AS INT)) || (r0 + 1) || CASE WHEN r0 = r1 AND c0 = c1 THEN '' ELSE ':' || chr(CAST(65 + c1 AS INT)) || (r1 + 1) END AS region FROM merges""",
+        "lang_documents": """WITH l AS (SELECT doc_id, unnest(CASE WHEN text IS NULL THEN [''] ELSE string_split(text, chr(10)) END) AS v FROM documents),
+s AS (SELECT doc_id, coalesce(avg(CAST(regexp_matches(v, '\\p{Hangul}') AS INT)) FILTER (WHERE regexp_matches(v, '[^\\s\\p{Z}]')), 0) AS h,
+  coalesce(avg(CAST(regexp_matches(v, '[\\p{Hiragana}\\p{Katakana}]') AS INT)) FILTER (WHERE regexp_matches(v, '[^\\s\\p{Z}]')), 0) AS k FROM l GROUP BY doc_id)
+SELECT doc_id, CASE WHEN h >= 0.01 AND h >= k THEN 'KO' WHEN k >= 0.01 THEN 'JA' ELSE 'EN' END AS language FROM s""",
+        "fn_sanitize": r"""SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}\x{AD}]', '', 'g'),
+  '(?i)reserved-[0-9]+x[0-9a-f]+', '', 'g'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS v FROM pages""",
+        "fn_cjk_number": f"SELECT n, {_numeral()} AS numeral, translate(CAST(n AS VARCHAR), '0123456789', '零一二三四五六七八九') AS digits FROM (SELECT DISTINCT o_orderkey * o_custkey - 5000 AS n FROM orders)",
+        "fn_sniff_delimiter": r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), lambda x: regexp_matches(x, '[^\s\p{Z}]'))[1:10] AS ls FROM documents),
+m AS (SELECT doc_id, d, p, list_transform(ls, lambda x: length(x) - length(replace(x, d, ''))) AS n FROM l, (VALUES (',', 1), (chr(9), 2), (';', 3), ('|', 4)) AS t(d, p))
+SELECT doc_id, coalesce(min_by(d, p - 10 * n[1]) FILTER (WHERE n[1] > 0 AND list_min(n) = list_max(n)), ',') AS delimiter FROM m GROUP BY doc_id""",
+        "src_delimited": "SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS line, l_linestatus AS status, l_returnflag AS flag FROM lineitem",
+        "fn_markdown_escape": """SELECT doc_id, CASE WHEN text IN ('<', '^', '<^', '^<') THEN ''
+  ELSE regexp_replace(replace(coalesce(text, ''), '|', '\\|'), chr(13) || chr(10) || '|' || chr(10) || '|' || chr(13), '<br>', 'g') END AS cell FROM documents""",
         "cls_title_like": """WITH l AS (SELECT doc_id, trim(v, ' ') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL))
 SELECT doc_id, CAST(sum(CAST(regexp_matches(t, '^[■◾▪•·-]') OR regexp_matches(regexp_replace(t, '\\s+', '', 'g'), '^(19|20)[0-9]{2}(년|$)') OR starts_with(t, '년') OR starts_with(t, '~')
   OR (contains(t, '패널') AND length(t) <= 15) AS INT)) AS BIGINT) AS titles, count(*) AS lines FROM l GROUP BY doc_id""",

@@ -3,7 +3,9 @@ import pytest
 
 import __spark_entry__ as entry
 from gridloom import catalogue, functions as C
+from gridloom.operators import graph as G
 from gridloom.operators import segment as S
+from gridloom.sources.delimited import parse_rows, read_delimited
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,9 +41,30 @@ def test_scalars(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "documents", "part"):
+    for t in ("lineitem", "documents", "part", "orders", "pages"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(catalogue.oracle_sql()[name])
     got = entry.queries()[name](spark, SF)
     order = sorted(got.columns)
     assert sorted(map(str, want.project(",".join(f'"{c}"' for c in order)).fetchall())) == sorted(str(tuple(r)) for r in got.select(*order).collect())
+
+
+def test_graph_boxes():
+    spans = [(0, 0, 1), (0, 4, 4), (1, 1, 4), (3, 0, 0)]
+    assert G.component_boxes(spans) == [(0, 1, 0, 4), (3, 3, 0, 0)]
+    assert G.swept([(0, 1, 0, 4), (2, 3, 0, 0), (9, 9, 0, 0)], 1) == [(0, 3, 0, 4), (9, 9, 0, 0)]
+
+
+def test_delimited_rows(tmp_path, spark):
+    assert parse_rows('a;"b ""x""\n;c"\r\n;\n\nd"e;"";f', ";") == [["a", 'b "x"\n;c'], ['d"e', "", "f"]]
+    assert parse_rows('"open', ",") == [["open"]] and parse_rows("", ",") == []
+    (tmp_path / "a.b.csv").write_text("n|m\n1|2\n3|4\n")
+    row = read_delimited(spark, str(tmp_path)).first()
+    assert (row.sheet_name, row.header_row_count, row.rows) == ("a.b", 1, [["n", "m"], ["1", "2"], ["3", "4"]])
+
+
+def test_numerals_and_markers(spark):
+    df = spark.createDataFrame([(0,), (10,), (101,), (2025,), (-5,), (10_000,), (100_000_001,)], "n long")
+    assert [r[0] for r in df.select(C.cjk_number(df.n)).collect()] == ["零", "十", "零一百一", "零二千二十五", "負五", "一万", "一億一"]
+    df = spark.createDataFrame([("^<",), ("a|b\r\nc",), (None,)], "v string")
+    assert [r[0] for r in df.select(C.markdown_escape(df.v)).collect()] == ["", "a\\|b<br>c", ""]
