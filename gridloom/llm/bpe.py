@@ -19,6 +19,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ from pyspark.sql import types as T
 from gridloom.llm.common import tune
 
 NONE = 1 << 62
-#: Ids of so many pre-tokens of at most CACHED_CHARS characters are remembered by a worker.
-CACHED, CACHED_CHARS = 100_000, 64
+#: A worker forgets its pre-tokens of at most CACHED_CHARS characters after a text that brings them to so many.
+CACHED, CACHED_CHARS = 300_000, 64
 # Fixed values of the byte-level layout: the splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -124,21 +125,27 @@ class ByteBpe:
             if part in self.added:
                 out.append(self.added[part])
                 continue
-            for m in self.split.finditer(part):
-                word = m.group()
-                ids = known.get(word)
-                if ids is None:
-                    ids = self.merge(word.encode())
-                    if len(word) <= CACHED_CHARS:
-                        if len(known) >= CACHED:
-                            known.clear()
-                        known[word] = ids
-                out.extend(ids)
+            words = self.split.findall(part)
+            long: dict[str, list[int]] = {}  # of this part alone
+            for word in set(words).difference(known):
+                (known if len(word) <= CACHED_CHARS else long)[word] = self.merge(word.encode())
+            if long:
+                out.extend(chain.from_iterable(known.get(w) or long[w] for w in words))
+            else:
+                out.extend(chain.from_iterable(map(known.__getitem__, words)))
+            if len(known) >= CACHED:
+                known.clear()
         return out
 
     def decode(self, ids) -> str:
-        of = self.bytes_of
-        return b"".join([of.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.bytes_of.get, ids, repeat(b""))).decode("utf-8", "replace")
+
+
+def id_rows(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The ids of each row, as views of the column's own values; null is empty."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    for i, known in enumerate(column.is_valid().to_pylist()):
+        yield values[ends[i] : ends[i + 1]] if known else values[:0]
 
 
 @lru_cache(maxsize=2)
@@ -167,14 +174,14 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = byte_bpe(path)
         for column in batches:
-            yield pa.array([bpe.decode(x.as_py() or ()) for x in column], pa.string())
+            yield pa.array([bpe.decode(x.tolist()) for x in id_rows(column)], pa.string())
 
     return docs.withColumn(out, decode(F.col(ids)))
 
 
 @F.arrow_udf(T.StringType())
 def ids_sha256(ids: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(np.array(x.as_py() or (), "<u4").tobytes()).hexdigest() for x in ids], pa.string())
+    return pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in id_rows(ids)], pa.string())
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
