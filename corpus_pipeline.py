@@ -41,8 +41,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of ids and decoded text of each document."""
-    return tokenized(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """doc_id, n_tokens and digests of ids and decoded text of each document, with its slot, source_rank and mixed, in their order.
+
+    A table that is written and read again has no order. The schedule follows from the documents alone, so it is made again.
+    """
+    placed = in_mixed_order(mix(docs.select("doc_id", "text", "source")))
+    return tokenized(placed, public_tokenizers.path("byte_bpe_50k.json"), ("slot", "source_rank", "mixed"))
 
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_copies", near_copies), ("mixing", mixing), ("tokens", tokens)]

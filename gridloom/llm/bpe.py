@@ -184,10 +184,10 @@ def ids_sha256(ids: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in id_rows(ids)], pa.string())
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of documents, through encode_texts and decode_ids."""
-    both = decode_ids(encode_texts(docs.select("doc_id", "text"), path), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def tokenized(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns of keep of documents, through encode_texts and decode_ids."""
+    both = decode_ids(encode_texts(docs.select("doc_id", "text", *keep), path), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *keep)
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
