@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, mix64, shingles, texts_of, tune, word_hashes
+from gridloom.llm.common import free_name, materialise, mix64, shingles, texts_of, tune, word_hashes
 
 #: Largest size that may be light; beyond it subsets are too many.
 MOST_LIGHT = 40
@@ -132,15 +132,16 @@ def node_of(h: np.ndarray) -> bytes | None:
     return b"".join(x.to_bytes(8, "big") for x in sums)
 
 
-def set_rows(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, node of every document."""
+def set_rows(docs: DataFrame, width: int, key: str | None = None) -> DataFrame:
+    """doc_id, n, node of every document, and its column key (long)."""
+    own = [key] if key else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = _sets(texts_of(batch.column(1)), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary())], names=["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.binary()), *batch.columns[2:]], names=["doc_id", "n", "node", *own])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node binary")
+    return docs.select("doc_id", "text", *own).mapInArrow(run, "doc_id long, n long, node binary" + "".join(f", `{c}` long" for c in own))
 
 
 def list_entries(docs: DataFrame, width: int, percent: int, light: int, largest: int) -> DataFrame:
@@ -225,10 +226,10 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionAll(roots.select("root", "root").distinct().toDF("node", "root"))
 
 
-def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
+def rooted(docs: DataFrame, width: int, percent: int, key: str | None = None) -> DataFrame:
+    """doc_id, n, root (smallest node reachable by links; none for empty sets) of every row, and its column key."""
     tune(docs.sparkSession)
-    rows = materialise(set_rows(docs, width), "rows")
+    rows = materialise(set_rows(docs, width, key), "rows")
     limit = 100 * (MOST_LIGHT + 1) // percent
     known = rows.where("node is not null").select("node", "n").distinct()
     sizes = {r.n: r.c for r in known.where(F.col("n") <= limit).groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -252,17 +253,28 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not more.isEmpty():
         links = materialise(links.unionAll(checked(more, docs, rows, width, percent)), "links")
         roots = materialise(components(links), "roots")
-    named = materialise(rows.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root")), "named")
+    own = [key] if key else []
+    return materialise(rows.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"), *own), "named")
+
+
+def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
+    named = rooted(docs, width, percent)
     least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that with the smallest doc_id. Documents with empty sets and with null
-    ids stay; of repeated rows of one id all stay."""
-    linked = near_components(docs, width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(linked, docs["doc_id"] == linked["__gone"], "left_anti")
+    """docs with one row of each component, by rows: that with the smallest doc_id (null is the largest, of repeated ids any
+    one row). Rows with empty sets stay. Rows are told apart by a number that is written down with them."""
+    key = free_name(docs, "row_key")
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    named = rooted(keyed, width, percent, key)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("k")))
+    kept = named.where("root is not null").groupBy("root").agg(first.alias("x")).select(F.col("x.k").alias(key))
+    kept = kept.unionAll(named.where("root is null").select(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """What the stages of the pipeline hand on to its result."""
 
 import corpus_pipeline
+from gridloom.llm.jaccard import one_of_each
 from gridloom.llm.mixing import BLOCK_ROWS, pfair_period, source_weights
 
 
@@ -26,3 +27,12 @@ def test_result_follows_the_schedule(spark, tmp_path, monkeypatch):
     for end in range(1, max(slots) + 2):
         for s in w:
             assert abs(sum(slots[t] == s for t in range(end)) * sum(w.values()) - end * w[s]) < sum(w.values())
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = "a b c d e f g h", "s t u v w x y z"
+    rows = [(1, a), (5, a), (5, b), (None, a), (None, "p q r s t u"), (None, "p q r s t u"), (7, "k l m n o p"), (7, "k l m n o p"), (8, None), (8, None), (None, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, row_key int")
+    got = one_of_each(docs).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in [(1, a), (5, b), (None, "p q r s t u"), (7, "k l m n o p"), (8, None), (8, None), (None, "")])
+    assert all(rows[r.row_key] == (r.doc_id, r.text) for r in got)
