@@ -36,8 +36,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the sources' schedule."""
-    return in_mixed_order(mix(docs)).select(*[c for c in docs.columns if c.lower() not in OUTPUTS])
+    """All documents, in the order of the sources' schedule. Columns with an output's name wait under a free one."""
+    own = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in OUTPUTS}
+    return in_mixed_order(mix(docs.withColumnsRenamed(own))).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

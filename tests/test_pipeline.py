@@ -36,3 +36,10 @@ def test_one_row_of_each_group_stays(spark):
     got = one_of_each(docs).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in [(1, a), (5, b), (None, "p q r s t u"), (7, "k l m n o p"), (8, None), (8, None), (None, "")])
     assert all(rows[r.row_key] == (r.doc_id, r.text) for r in got)
+
+
+def test_mixing_keeps_columns_named_as_its_outputs(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "a", i * 2, "b", f"m{i}", i, "o") for i in range(40)], "doc_id long, text string, source string, Slot long, block string, mixed string, source_rank long, own_block string")
+    got = corpus_pipeline.mixing(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.collect()))
