@@ -10,7 +10,7 @@ from gridloom.operators import graph as G
 from gridloom.operators import language as L
 from gridloom.operators import merges as M
 from gridloom.operators import segment as S
-from gridloom.sources import delimited, merge_regions, sparse_grid
+from gridloom.sources import all_regions, delimited, merge_regions, sparse_grid, whole_grid
 
 
 def seg_row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,13 +107,35 @@ def src_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", *[F.col("f")[i].alias(n) for i, n in enumerate(("line", "status", "flag"))])
 
 
+def _whole() -> dict:
+    """The operators on all line items and all orders: sparse_grid and merge_regions take a part of them."""
+    of_cells = {
+        "seg_row_bands": lambda x: S.row_bands(x).groupBy("sheet_id", "band").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("n_rows")),
+        "seg_column_stripes": lambda x: S.column_stripes(x.join(S.row_bands(x), ["sheet_id", "r"])).groupBy("sheet_id", "band", "stripe").agg(F.min("c").alias("c0"), F.max("c").alias("c1")),
+        "seg_three_level": S.three_level,
+        "seg_graph": G.graph_segments,
+        "seg_graph_apart": lambda x: G.graph_segments(x, None),
+        "ord_deferred": lambda x: S.deferred_order(S.three_level(x)).select("sheet_id", "seg_ord", "deferred", "out_ord"),
+        "seg_isolated_cells": S.isolated_cells,
+        "hdr_single_row": S.header_row,
+    }
+    of_both = {
+        "grid_merged": M.merged_grid,
+        "seg_merge_clip": lambda x, m: M.clipped_merges(S.three_level(x), m),
+        "hdr_merge_aware": lambda x, m: M.header_rows(M.merged_grid(x, m), m),
+        "fn_range_ref": lambda _, m: m.select("sheet_id", "ord", C.range_ref(*[F.col(c) for c in ("r0", "c0", "r1", "c1")]).alias("region")),
+    }
+    out = {f"{k}_whole": lambda spark, sf_dir, f=f: f(whole_grid(spark, sf_dir)) for k, f in of_cells.items()}
+    return out | {f"{k}_whole": lambda spark, sf_dir, f=f: f(whole_grid(spark, sf_dir), all_regions(spark, sf_dir)) for k, f in of_both.items()}
+
+
 def queries() -> dict:
     own = (
         seg_row_bands, seg_column_stripes, seg_three_level, seg_graph, seg_graph_apart, seg_merge_clip, ord_deferred, seg_isolated_cells, grid_merged,
         hdr_single_row, hdr_merge_aware, fn_column_letters, fn_range_ref, fn_markdown_escape, fn_sanitize, fn_cjk_number, fn_sniff_delimiter,
         cls_title_like, lang_documents, src_delimited,
     )
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | _whole()
 
 
 _CELLS = """

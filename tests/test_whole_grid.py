@@ -1,0 +1,45 @@
+"""The grid operators on all line items and all orders, against the SQL of the filtered queries on the whole input."""
+
+import duckdb
+import pytest
+
+from gridloom import catalogue
+from gridloom.sources import all_regions, whole_grid
+
+SF = "/root/testdata/sf0.001"
+ROW = "({0} % 100 + {0} % 100 // 3 + {0} % 100 // 5)"
+CELLS = f"""
+cells AS (SELECT l_orderkey // 100 AS sheet_id, {ROW.format('l_orderkey')} AS r, i + i // 3 AS c, v FROM (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS v FROM lineitem))"""
+MERGES = f"""
+merges AS (SELECT sheet_id, ord, r0, CASE WHEN o_custkey % 2 = 1 AND ((ord % 100 + 1) % 3 = 0 OR (ord % 100 + 1) % 5 = 0) THEN r0 + 1 ELSE r0 END AS r1, o_custkey % 3 AS c0, o_custkey % 3 + o_custkey % 5 AS c1
+  FROM (SELECT o_orderkey // 100 AS sheet_id, o_orderkey AS ord, {ROW.format('o_orderkey')} AS r0, o_custkey FROM orders))"""
+
+
+@pytest.fixture(scope="module")
+def con():
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+def test_every_row_counts(spark, con):
+    cells = whole_grid(spark, SF)
+    assert cells.count() == cells.select("sheet_id", "r", "c").distinct().count() == con.execute("select count(*) from lineitem").fetchone()[0]
+    assert sorted(r.v for r in cells.collect()) == sorted(r[0] for r in con.execute("select cast(cast(l_quantity as int) as varchar) from lineitem").fetchall())
+    regions = all_regions(spark, SF).collect()
+    assert sorted(r.ord for r in regions) == sorted(r[0] for r in con.execute("select o_orderkey from orders").fetchall())
+    covered = [(m.sheet_id, r, c) for m in regions for r in range(m.r0, m.r1 + 1) for c in range(m.c0, m.c1 + 1)]
+    assert len(covered) == len(set(covered)) and any(m.r1 > m.r0 for m in regions)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.queries() if n.endswith("_whole")))
+def test_whole_matches_sql(spark, con, name):
+    sql = catalogue.oracle_sql()[name.removesuffix("_whole")]
+    assert catalogue._CELLS in sql or catalogue._MERGES in sql
+    want = con.sql(sql.replace(catalogue._CELLS, CELLS).replace(catalogue._MERGES, MERGES))
+    got = catalogue.queries()[name](spark, SF)
+    order = sorted(got.columns)
+    assert sorted(map(str, want.project(",".join(f'"{c}"' for c in order)).fetchall())) == sorted(str(tuple(r)) for r in got.select(*order).collect())
+    assert not got.isEmpty()
