@@ -226,10 +226,8 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionAll(roots.select("root", "root").distinct().toDF("node", "root"))
 
 
-def rooted(docs: DataFrame, width: int, percent: int, key: str | None = None) -> DataFrame:
-    """doc_id, n, root (smallest node reachable by links; none for empty sets) of every row, and its column key."""
-    tune(docs.sparkSession)
-    rows = materialise(set_rows(docs, width, key), "rows")
+def shared_lists(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """key, node, n, least (node of the list) of the lists' entries; lists of one entry end here. rows: of set_rows."""
     limit = 100 * (MOST_LIGHT + 1) // percent
     known = rows.where("node is not null").select("node", "n").distinct()
     sizes = {r.n: r.c for r in known.where(F.col("n") <= limit).groupBy("n").agg(F.count("*").alias("c")).collect()}
@@ -238,7 +236,14 @@ def rooted(docs: DataFrame, width: int, percent: int, key: str | None = None) ->
     entries = list_entries(docs, width, percent, light, largest).distinct()
     entries = materialise(entries, "entries")
     shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("key", "least")
-    lists = materialise(entries.join(materialise(shared, "shared"), "key"), "lists")  # lists of one entry end here
+    return materialise(entries.join(materialise(shared, "shared"), "key"), "lists")
+
+
+def rooted(docs: DataFrame, width: int, percent: int, key: str | None = None) -> DataFrame:
+    """doc_id, n, root (smallest node reachable by links; none for empty sets) of every row, and its column key."""
+    tune(docs.sparkSession)
+    rows = materialise(set_rows(docs, width, key), "rows")
+    lists = shared_lists(docs, rows, width, percent)
     stars = lists.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialise(stars, "tried")
     links = materialise(checked(tried, docs, rows, width, percent), "links")
@@ -265,6 +270,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def near_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """a, b (a < b) of all links between distinct sets, named as set_rows names them: each pair of a list is checked, in one
+    component or not. Near copies of one another give all their pairs, so this grows with the square of such a family."""
+    tune(docs.sparkSession)
+    rows = materialise(set_rows(docs, width), "rows")
+    lists = shared_lists(docs, rows, width, percent)
+    other = lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
+    sized = (F.least("n", "m") * 100) >= F.greatest("n", "m") * percent
+    pairs = lists.withColumnRenamed("node", "a").join(other, "key").where(F.col("a") < F.col("b")).where(sized).select("a", "b").distinct()
+    return checked(materialise(pairs, "pairs"), docs, rows, width, percent)
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, by rows: that with the smallest doc_id (null is the largest, of repeated ids any
     one row). Rows with empty sets stay. Rows are told apart by a number that is written down with them."""
