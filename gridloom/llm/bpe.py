@@ -3,23 +3,25 @@
 A pre-token's symbols are leaves of a tree whose nodes hold the lowest (rank, position) of their leaves, so the root is
 the leftmost lowest-rank merge. A merge changes the left pair, its own and the right pair: three point updates of
 logarithmic cost, until the root holds no pair. So a pre-token of n bytes costs O(n log n) whatever its merges.
-Symbols that a merge takes away are unlinked, and their leaf is emptied, so positions stay in order.
+Symbols that a merge takes away are unlinked, and their leaf is emptied, so positions stay in order. The trees of all
+pre-tokens of one width that a batch of texts has new are rows of one array (`PairForest`), merged and updated level by
+level together; a pre-token of more than TOGETHER bytes has a tree of its own (`PairTree`).
 
 Reads the public tokenizer JSON layout of byte-level models: added tokens are cut out first, the rest is split by the
 byte-level pattern, bytes become the layout's printable characters. Decoding is its inverse: bytes of all tokens, UTF-8
 with malformed parts replaced.
 
 Defined results: null and empty texts have no ids and decode to "". Repeated rows get equal ids. Other columns pass
-through; those with an output's name are replaced. Unknown ids decode to nothing.
+through; those with an output's name are replaced. Unknown ids decode to nothing. A text of any length is encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import tune
+from gridloom.llm.common import PIECE_BYTES, tune
+from gridloom.llm.words import WordCodes, byte_level, pieces
 
 NONE = 1 << 62
-#: A worker forgets its pre-tokens of at most CACHED_CHARS characters after a text that brings them to so many.
-CACHED, CACHED_CHARS = 300_000, 64
+#: Most bytes of a pre-token whose tree is merged together with others; most leaves of such trees at a time.
+TOGETHER, LEAVES = 128, 1 << 20
 # Fixed values of the byte-level layout: the splitting pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -74,6 +77,58 @@ class PairTree:
             nodes[i] = low
 
 
+class PairForest:
+    """Trees of equal width, one row each: ids are rows of symbols, -1 behind the last; ranks gives ranks of pairs."""
+
+    def __init__(self, ids: np.ndarray, lengths: np.ndarray, ranks) -> None:
+        self.ids, self.lengths, self.ranks = ids, lengths, ranks
+        rows, self.size = len(ids), ids.shape[1] - 1  # a power of two
+        places = np.arange(self.size + 1)
+        self.after = np.tile(places + 1, (rows, 1))
+        self.before = np.tile(places - 1, (rows, 1))
+        self.nodes = np.full((rows, 2 * self.size), NONE, np.int64)
+        pair = np.flatnonzero(places[None, :-1] + 1 < lengths[:, None])
+        row, at = np.divmod(pair, self.size)
+        self.nodes[row, self.size + at] = self._leaf(ids[row, at], ids[row, at + 1], at)
+        level = self.size
+        while level > 1:
+            level //= 2
+            self.nodes[:, level : 2 * level] = np.minimum(self.nodes[:, 2 * level : 4 * level : 2], self.nodes[:, 2 * level + 1 : 4 * level : 2])
+
+    def _leaf(self, a: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        rank = self.ranks(a, b)
+        return np.where(rank < 0, NONE, rank * self.size + at)
+
+    def _put(self, row: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> None:
+        """Sets leaves (several of a row, in any order) and what is above them, level by level."""
+        self.nodes[row, self.size + at] = leaf
+        node = self.size + at
+        for _ in range(self.size.bit_length() - 1):
+            node = node >> 1
+            self.nodes[row, node] = np.minimum(self.nodes[row, 2 * node], self.nodes[row, 2 * node + 1])
+
+    def merge(self, merged: np.ndarray) -> list[np.ndarray]:
+        """Ids of each row when no pair is left. merged: the id that each rank gives."""
+        row = np.arange(len(self.ids))
+        while len(row := row[self.nodes[row, 1] != NONE]):
+            rank, i = np.divmod(self.nodes[row, 1], self.size)
+            j = self.after[row, i]
+            k = self.after[row, j]
+            self.ids[row, i], self.ids[row, j] = merged[rank], -1
+            self.after[row, i] = k
+            more = k < self.lengths[row]
+            self.before[row[more], k[more]] = i[more]
+            h = self.before[row, i]
+            leaves = [(row, i, np.where(more, self._leaf(self.ids[row, i], self.ids[row, np.minimum(k, self.size)], i), NONE))]
+            gone = j < self.size
+            leaves.append((row[gone], j[gone], np.full(int(gone.sum()), NONE)))
+            left = h >= 0
+            leaves.append((row[left], h[left], self._leaf(self.ids[row[left], h[left]], self.ids[row[left], i[left]], h[left])))
+            self._put(*(np.concatenate(x) for x in zip(*leaves, strict=True)))
+        kept = self.ids >= 0
+        return np.split(self.ids[kept], np.cumsum(kept.sum(axis=1))[:-1])
+
+
 class ByteBpe:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
@@ -91,7 +146,38 @@ class ByteBpe:
         longest = sorted(self.added, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, longest)) + ")") if longest else None
         self.split = regex.compile(PATTERN)
-        self.known: dict[str, list[int]] = {}
+        codes = np.array([a << 32 | b for a, b in self.merges], np.int64)
+        order = np.argsort(codes)
+        self.codes, self.rank_of = codes[order], np.array([k for k, _ in self.merges.values()], np.int64)[order]
+        self.merged = np.zeros(len(pairs), np.int64)
+        self.merged[[k for k, _ in self.merges.values()]] = [i for _, i in self.merges.values()]
+        self.symbols = np.array(self.of_byte, np.int64)
+        self.words = WordCodes(byte_level, self.merge_all)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 if it has none."""
+        code = a << 32 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.rank_of[at], -1) if len(self.codes) else np.full(len(code), -1)
+
+    def merge_all(self, words: list[str]) -> list[Sequence[int]]:
+        """Ids of some pre-tokens."""
+        data = [w.encode() for w in words]
+        sizes = np.array([len(x) for x in data], np.int64)
+        out: list[Sequence[int]] = [[]] * len(words)
+        width = 1
+        while width // 2 < TOGETHER:
+            some = np.flatnonzero((sizes <= width + 1) & (sizes > (width // 2 + 1 if width > 1 else 0)) & (sizes <= TOGETHER))
+            for at in range(0, len(some), max(1, LEAVES // width)):
+                part = some[at : at + max(1, LEAVES // width)]
+                ids = np.full((len(part), width + 1), -1, np.int64)
+                ids[np.arange(width + 1) < sizes[part][:, None]] = self.symbols[np.frombuffer(b"".join(data[i] for i in part), np.uint8)]
+                for i, got in zip(part.tolist(), PairForest(ids, sizes[part], self.ranks).merge(self.merged), strict=True):
+                    out[i] = got
+            width *= 2
+        for i in np.flatnonzero(sizes > TOGETHER):
+            out[i] = self.merge(data[i])
+        return out
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -118,25 +204,25 @@ class ByteBpe:
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> list[int]:
+        """Ids of one text, pre-token by pre-token."""
         out: list[int] = []
-        parts = self.cut.split(text) if self.cut else [text]
-        known = self.known
-        for part in parts:
+        for part in self.cut.split(text) if self.cut else [text]:
             if part in self.added:
                 out.append(self.added[part])
-                continue
-            words = self.split.findall(part)
-            long: dict[str, list[int]] = {}  # of this part alone
-            for word in set(words).difference(known):
-                (known if len(word) <= CACHED_CHARS else long)[word] = self.merge(word.encode())
-            if long:
-                out.extend(chain.from_iterable(known.get(w) or long[w] for w in words))
             else:
-                out.extend(chain.from_iterable(map(known.__getitem__, words)))
-            if len(known) >= CACHED:
-                known.clear()
+                out += [x for word in self.split.findall(part) for x in self.merge(word.encode())]
         return out
 
+    def _alone(self, text: str) -> list[int] | None:
+        """Ids of texts with added tokens and of long ones without spaces between letters; None: to be encoded with others."""
+        if self.cut and self.cut.search(text):
+            return [x for part in self.cut.split(text) for x in ([self.added[part]] if part in self.added else next(self.encode_all([part])).tolist())]
+        return self.encode(text) if len(text) > PIECE_BYTES // 2 and pieces(text, PIECE_BYTES // 2) is None else None
+
+    def encode_all(self, texts: Sequence[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        return self.words.rows(texts, self._alone)
+
     def decode(self, ids) -> str:
         return b"".join(map(self.bytes_of.get, ids, repeat(b""))).decode("utf-8", "replace")
 
@@ -161,7 +247,9 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text", out: str = "ids
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = byte_bpe(path)
         for column in batches:
-            yield pa.array([np.array(bpe.encode(t.as_py() or ""), np.int32) for t in column], pa.list_(pa.int32()))
+            ids = [x.astype(np.int32) for x in bpe.encode_all([t or "" for t in column.to_pylist()])]
+            ends = np.cumsum([0] + [len(x) for x in ids])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 
     return docs.withColumn(out, encode(F.col(text)))
 

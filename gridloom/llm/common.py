@@ -25,21 +25,54 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir."""
+    """A fresh folder below the shared one that the cluster names in spark.checkpoint.dir.
+
+    Without that setting, the checkpoint folder of the context is taken. Only a local master, whose tasks share the
+    driver's disk, gets a folder of its own; elsewhere it is an error, as other machines would not see one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else "/tmp/gridloom-shared"
+        if current.isDefined():
+            base = current.get()
+        elif spark.sparkContext.master.split("[")[0] == "local":
+            base = "/tmp/gridloom-shared"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/gridloom-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}-{name}"
+    return _written(df, f"{shared_folder(df.sparkSession)}-{name}")
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator in the shared folder. On leaving, those of keep() are deleted, those of result() stay."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.tables = spark, shared_folder(spark), 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return _written(df, f"{self.folder}/{self.tables}-{name}")
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{self.folder}-{name}")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores in front until no column (in any case) has it."""
     taken = {c.lower() for c in df.columns}
@@ -48,10 +81,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

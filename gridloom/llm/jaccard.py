@@ -1,49 +1,69 @@
 """N-gram Jaccard join: a size-aware heavy-light join of distinct shingle sets.
 
 Two sets of sizes a and b link when 100 * intersection >= P * union, so when they share c(a, b) = ceil(P (a + b) / (100 +
-P)) shingles. Equal sets are one node from the start. Light sets (at most T shingles) enumerate their subsets of the fixed
-sizes c(a, b) of all light partners b; two that link share one. Heavy sets are inverted lists' matter: their hash space
-is cut into parts, more than linked sets of that size class can differ in, so two that link agree on a whole part;
-each set is put on the lists of its parts' contents and of the next class's. A part's list is far shorter than a single
-shingle's, and a passage that many documents share fills no part alone. T is the cheapest boundary by the number of
-subsets and list entries that the histogram of sizes gives; pairs across the boundary meet on the heavy lists.
-
-Lists are scanned in two rounds, so a group of near copies never gives all its pairs: first each entry is compared to its
-list's first one; then only entries of one list that are still in different components are. Candidates are checked on
-their whole sets. Components come from alternating large-star and small-star steps over written tables.
-
-Shingles are 64-bit hashes, sets 128-bit ones; equality of hashes stands for equality.
-
-Defined results: null texts and texts without words are empty sets: size 0, linked with nothing, their own component (of
-all with that doc_id). Rows with one doc_id and several texts are one row each; their component takes in all rows whose
-set is linked. A null doc_id counts as larger than all others for component_id. Other columns pass through near_components
-by a join on the id, and clash with nothing.
+P)) shingles, and so differ in at most D = a + b - 2 c. Equal sets are one node from the start.
+
+Light sets (at most T shingles) enumerate their subsets of the fixed sizes c(a, b) of all light partners b; two that link
+share one. Heavy sets are found through inverted lists. A list of a single shingle would hold all that share a passage, so
+the lists are of parts: the hash space is cut into k > D parts, each differing shingle spoils one part at most, so linked
+sets hold the same shingles in at least k - D >= 1 + SPARE parts, and meet on the lists of those parts' contents. k follows
+from the size class; linked sets are in one class or in neighbouring ones, and a set that can have partners in the next
+class is listed there too. A set lists its empty parts only if it has more than SPARE of them: else linked sets agree on a
+filled one. T is the cheapest boundary by the number of subsets and list entries that the histogram of all sizes gives;
+pairs across the boundary meet on the heavy lists.
+
+Lists are scanned in these steps, none of which gives all pairs of a list.
+1. Keys alone: which keys have two different sets. Each task sends at most the least and the largest set of a key for every
+   HELD entries, so a frequent key is aggregated before the only shuffle of all entries.
+2. The sets on those keys are read again, once for each different set; lists with the same members are scanned once.
+3. Every member is compared to its list's first one. Components come from large-star and small-star steps over tables.
+4. Lists of three or more that still hold several components: members of different components are compared in place, by
+   blocks of BLOCK members, on signatures: counts of shingles by bucket, whose sum of differences is at most the number of
+   differing shingles, so a pair beyond D can't link. Only pairs within D leave the task. Lists of more than SPLIT members
+   are first cut by the parts of a second, independent hash, on which linked sets agree as well.
+Every candidate is checked on the whole sets. Shingles are 64-bit hashes, sets 128-bit ones; equality of hashes stands for
+equality.
+
+Defined results: null texts and texts without words are empty sets: size 0, linked with nothing, their own component. Rows
+with one doc_id and several texts are one row each; their component takes in all rows whose set is linked. A null doc_id
+counts as larger than all others for component_id, and a component of null ids alone has a null one. near_components
+returns its three columns only; one_of_each returns all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import free_name, materialise, mix64, shingles, texts_of, tune, word_hashes
+from gridloom.llm.common import Scratch, free_name, mix64, shingles, texts_of, tune, word_hashes
 
 #: Largest size that may be light; beyond it subsets are too many.
 MOST_LIGHT = 40
 #: Parts beyond those that linked sets can differ in; a set with more empty parts lists its empty parts too.
 SPARE = 2
+#: Neighbouring size classes are so many factors of 100 / percent apart.
+CLASS_STEPS = 2
 #: Hashed entries that a worker holds before it hands them on.
 HELD = 1 << 18
+#: Most bits of the filter of shared keys that goes to all tasks; with more keys it lets more through, and a join decides.
+FILTER_BITS = 1 << 27
+#: Buckets of a signature; members of a list that are compared with each other in one task.
+BUCKETS, BLOCK = 128, 256
+#: Lists of more contested members are split by a second hash.
+SPLIT = 4096
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-def _times(k: int) -> np.uint64:
-    return np.uint64(k * int(_SALT[1]) % (1 << 64))
+def _times(k: np.ndarray | list[int]) -> np.ndarray:
+    return np.asarray(k, np.uint64) * _SALT[1]
 
 
 def shared_least(a: int, b: int, percent: int) -> int:
@@ -60,8 +80,11 @@ def size_classes(percent: int, upto: int) -> np.ndarray:
     """Upper ends of size classes; linked sets are in one class or in neighbouring ones."""
     ends = [1]
     while ends[-1] < upto:
-        ends.append(max(ends[-1] + 1, 100 * (ends[-1] + 1) // percent))
-    return np.array(ends, np.int64)
+        end = ends[-1]
+        for _ in range(CLASS_STEPS):
+            end = max(end + 1, 100 * (end + 1) // percent)
+        ends.append(end)
+    return np.array([*ends, 100 * (ends[-1] + 1) // percent], np.int64)  # the last one has a next one too
 
 
 def part_count(end: int, percent: int) -> int:
@@ -69,11 +92,19 @@ def part_count(end: int, percent: int) -> int:
     return (100 - percent) * 2 * end // (100 + percent) + 1 + SPARE
 
 
+def classes_of(n: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each size, and whether sets of that size can link with larger ones of the next class."""
+    own = np.searchsorted(ends, n)
+    return own, 100 * n >= percent * (ends[own] + 1)
+
+
 def costs(a: int, light: int, percent: int) -> tuple[int, int]:
     """Entries of a set of size a when light, and when heavy."""
     few = sum(comb(a, c) for c in subset_sizes(a, light, percent) if c < a or a > 1)
-    k = int(np.searchsorted(ends := size_classes(percent, 2 * a + 2), a))
-    return few, sum(part_count(int(e), percent) for e in ends[k : k + 2])
+    ends = size_classes(percent, 2 * a + 2)
+    own, more = classes_of(np.array([a]), ends, percent)
+    k = int(own[0])
+    return few, sum(part_count(int(e), percent) for e in ends[k : k + 1 + int(more[0])])
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -86,6 +117,11 @@ def boundary(sizes: dict[int, int], percent: int) -> int:
     return min(range(MOST_LIGHT + 1), key=lambda t: (total(t), t))
 
 
+@lru_cache(maxsize=256)
+def _left_out(n: int, gone: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), gone)), np.int64)
+
+
 def subset_keys(h: np.ndarray, light: int, percent: int) -> list[np.ndarray]:
     """A key of each fixed-size subset of a light set."""
     m = mix64(h ^ _SALT[0])
@@ -97,26 +133,55 @@ def subset_keys(h: np.ndarray, light: int, percent: int) -> list[np.ndarray]:
         elif gone == 1:
             sums = whole - m
         else:
-            at = np.array(list(combinations(range(len(h)), gone)), np.int64)
-            sums = whole - m[at].sum(axis=1, dtype=np.uint64)
-        out.append(mix64(sums + _times(c)))
+            sums = whole - m[_left_out(len(h), gone)].sum(axis=1, dtype=np.uint64)
+        out.append(mix64(sums + _times([c])))
     return out
 
 
-def part_keys(h: np.ndarray, ends: np.ndarray, percent: int) -> list[np.ndarray]:
-    """A key of each part of a heavy set, in its class and the next one."""
-    k, out, m = int(np.searchsorted(ends, len(h))), [], mix64(h ^ _SALT[2])
-    for cls in (k, k + 1):
-        parts = part_count(int(ends[cls]), percent)
-        part = (mix64(h + np.uint64(cls)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        filled, first = np.unique(part[order], return_index=True)
-        sums = np.add.reduceat(m[order], first)
-        empty = np.setdiff1d(np.arange(parts), filled)
-        if len(empty) > SPARE:
-            filled, sums = np.concatenate((filled, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-        out.append(mix64(mix64(sums + _times(cls)) + filled.astype(np.uint64) * _SALT[0]))
-    return out
+def part_keys(sets: list[np.ndarray], ends: np.ndarray, percent: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the listed parts of non-empty sets, and the set (its place in the list) of each key."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    own, more = classes_of(sizes, ends, percent)
+    counts = np.array([part_count(int(e), percent) for e in ends], np.int64)
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for up in (0, 1):
+        chosen = np.arange(len(sets)) if up == 0 else np.flatnonzero(more)
+        if not len(chosen):
+            continue
+        h, n = np.concatenate([sets[i] for i in chosen]), sizes[chosen]
+        cls = own[chosen] + up
+        parts = counts[cls]
+        before = np.cumsum(parts) - parts
+        of = np.repeat(np.arange(len(chosen)), n)
+        shift = _times(cls + 1 + 1_000_003 * salt)
+        slot = before[of] + (mix64(h + shift[of]) % parts[of].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        filled, first = np.unique(slot[order], return_index=True)
+        sums = np.zeros(int(parts.sum()), np.uint64)
+        sums[filled] = np.add.reduceat(mix64(h ^ _SALT[2])[order], first)
+        full = np.zeros(len(sums), bool)
+        full[filled] = True
+        owner = np.repeat(np.arange(len(chosen)), parts)
+        empty = parts - np.bincount(owner[filled], minlength=len(chosen))
+        listed = full | (empty > SPARE)[owner]
+        place = (np.arange(len(sums)) - before[owner]).astype(np.uint64)
+        keys.append(mix64(mix64(sums + shift[owner]) + place * _SALT[0])[listed])
+        owners.append(chosen[owner[listed]])
+    return np.concatenate(keys), np.concatenate(owners)
+
+
+def list_keys(sets: list[np.ndarray], light: int, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys (of subsets and of parts) of non-empty sets, and the set of each key."""
+    least = -(-percent * (light + 1) // 100)
+    heavy = [i for i, s in enumerate(sets) if len(s) >= least]
+    keys, owners = part_keys([sets[i] for i in heavy], ends, percent) if heavy else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    found, of = [keys], [np.array(heavy, np.int64)[owners]]
+    for i, s in enumerate(sets):
+        if len(s) <= light:
+            own = subset_keys(s, light, percent)
+            found += own
+            of.append(np.full(sum(map(len, own)), i, np.int64))
+    return np.concatenate(found), np.concatenate(of)
 
 
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -132,6 +197,11 @@ def node_of(h: np.ndarray) -> bytes | None:
     return b"".join(x.to_bytes(8, "big") for x in sums)
 
 
+def signature(h: np.ndarray) -> np.ndarray:
+    """Counts of shingles by bucket, at most 255."""
+    return np.minimum(np.bincount((mix64(h + _SALT[0]) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8)
+
+
 def set_rows(docs: DataFrame, width: int, key: str | None = None) -> DataFrame:
     """doc_id, n, node of every document, and its column key (long)."""
     own = [key] if key else []
@@ -144,150 +214,309 @@ def set_rows(docs: DataFrame, width: int, key: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text", *own).mapInArrow(run, "doc_id long, n long, node binary" + "".join(f", `{c}` long" for c in own))
 
 
-def list_entries(docs: DataFrame, width: int, percent: int, light: int, largest: int) -> DataFrame:
-    """key, node, n: entries of the inverted lists (of subsets and of parts) of all sets."""
-    ends = size_classes(percent, 2 * largest + 2)
-    least = -(-percent * (light + 1) // 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        nodes: list[tuple[bytes, int, int]] = []
-        held = 0
+class Join:
+    """One join of the texts of docs. work holds its tables; rows: of set_rows."""
 
-        def handed() -> pa.RecordBatch:
-            counts = np.array([c for _, _, c in nodes])
-            names = pa.array([n for n, _, _ in nodes], pa.binary()).take(pa.array(np.repeat(np.arange(len(nodes)), counts)))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), names, pa.array(np.repeat([s for _, s, _ in nodes], counts), pa.int64())], names=["key", "node", "n"])
+    def __init__(self, docs: DataFrame, rows: DataFrame, width: int, percent: int, work: Scratch) -> None:
+        self.texts, self.width, self.percent, self.work = docs.select("text"), width, percent, work
+        limit = 100 * (MOST_LIGHT + 1) // percent
+        known = rows.where("node is not null")
+        few = known.where(F.col("n") <= limit).select("node", "n").distinct()
+        self.light = boundary({r.n: r.c for r in few.groupBy("n").agg(F.count("*").alias("c")).collect()}, percent)
+        self.largest = known.agg(F.max("n").alias("n")).first().n or 1
+        self.ends = size_classes(percent, 2 * self.largest + 2)
+        self._read()
 
+    def _fresh(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+        """Names and sets of each batch's texts; of copies in a task one, as far as it remembers them."""
         seen: set[bytes] = set()
         for batch in batches:
-            for h in _sets(texts_of(batch.column(0)), width):
-                name = node_of(h)
-                if name is None or name in seen:
-                    continue
-                if len(seen) < HELD:  # a task's copies are listed once, as far as it remembers them
-                    seen.add(name)
-                own = (subset_keys(h, light, percent) if len(h) <= light else []) + (part_keys(h, ends, percent) if len(h) >= least else [])
-                if own and (size := sum(map(len, own))):
-                    keys += own
-                    nodes.append((name, len(h), size))
-                    held += size
+            names, sets = [], []
+            for s in _sets(texts_of(batch.column(0)), self.width):
+                name = node_of(s)
+                if name is not None and name not in seen:
+                    if len(seen) < HELD:
+                        seen.add(name)
+                    names.append(name)
+                    sets.append(s)
+            if sets:
+                yield names, sets
+
+    def __getstate__(self) -> dict:  # what the tasks need
+        return {k: self.__dict__[k] for k in ("width", "percent", "light", "ends")}
+
+    def shared_keys(self) -> DataFrame:
+        """Keys with two different sets."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            keys: list[np.ndarray] = []
+            names: list[np.ndarray] = []
+            held = 0
+
+            def handed() -> pa.RecordBatch:
+                k, u = np.concatenate(keys).view(np.int64), np.concatenate(names)
+                order = np.lexsort((u, k))
+                k, u = k[order], u[order]
+                new = np.concatenate(([True], k[1:] != k[:-1]))
+                ends = new | np.concatenate((new[1:], [True]))  # a key's least and largest set
+                return pa.RecordBatch.from_arrays([pa.array(k[ends]), pa.array(u[ends])], names=["key", "u"])
+
+            for own, sets in self._fresh(batches):
+                found, of = list_keys(sets, self.light, self.ends, self.percent)
+                keys.append(found)
+                names.append(np.array([int.from_bytes(x[:8], "big", signed=True) for x in own], np.int64)[of])
+                held += len(found)
                 if held >= HELD:
                     yield handed()
-                    keys, nodes, held = [], [], 0
-        if held:
-            yield handed()
-
-    return docs.select("text").mapInArrow(run, "key long, node binary, n long")
-
-
-def checked(pairs: DataFrame, docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets. Sets are made again from the texts of one document of each node."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = rows.join(nodes, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("__k")).select("__k").distinct()
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    texts = docs.select(key.alias("__k"), "text").join(one, "__k", "left_semi").select("text")
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [s for s in _sets(texts_of(batch.column(0)), width) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s"])
-
-    sets = materialise(texts.mapInArrow(build, "node binary, s binary").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("p")), sets.select(F.col("node").alias("b"), F.col("s").alias("q"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "p", "q").mapInArrow(compare, "a binary, b binary")
-
-
-def components(links: DataFrame) -> DataFrame:
+                    keys, names, held = [], [], 0
+            if held:
+                yield handed()
+
+        entries = self.texts.mapInArrow(run, "key long, u long").repartition("key")
+        return entries.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("key")
+
+    def listed(self, bits: int, words: np.ndarray) -> DataFrame:
+        """id, node, n, sig, keys, s of the different sets with a key in the filter."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for names, sets in self._fresh(batches):
+                keys, of = list_keys(sets, self.light, self.ends, self.percent)
+                at = keys & np.uint64(bits - 1)
+                hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                keys, of = keys[hit].view(np.int64), of[hit]
+                order = np.argsort(of, kind="stable")
+                keys, counts = keys[order], np.bincount(of, minlength=len(sets))
+                ends = np.concatenate(([0], np.cumsum(counts)))
+                some = np.flatnonzero(counts)
+                for a in range(0, len(some), 64):  # sets of a long text's size
+                    part = some[a : a + 64]
+                    yield pa.RecordBatch.from_pydict({
+                        "node": pa.array([names[i] for i in part], pa.binary()), "n": pa.array([len(sets[i]) for i in part], pa.int64()),
+                        "sig": pa.array([signature(sets[i]).tobytes() for i in part], pa.binary()),
+                        "keys": pa.array([keys[ends[i] : ends[i + 1]] for i in part], pa.list_(pa.int64())), "s": pa.array([sets[i].tobytes() for i in part], pa.binary()),
+                    })
+
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[bytes] = set()
+            first = TaskContext.get().partitionId() << 40
+            for batch in batches:
+                new = []
+                for x in batch.column(0).to_pylist():
+                    new.append(x not in seen)
+                    seen.add(x)
+                kept = batch.filter(pa.array(new, pa.bool_()))
+                ids = np.arange(first, first + kept.num_rows)
+                first += kept.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *kept.columns], names=["id", *kept.schema.names])
+
+        kinds = "node binary, n long, sig binary, keys array<long>, s binary"
+        return self.texts.mapInArrow(run, kinds).repartition("node").mapInArrow(once, f"id long, {kinds}")
+
+    def _read(self) -> None:
+        """info: the different sets that share a key. lists: key, id, least, c of their lists, each different list once."""
+        keys = self.work.keep(self.shared_keys(), "keys")
+        n = keys.count()
+        bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+        at = F.col("key").bitwiseAND(F.lit(bits - 1))
+        one = F.expr("shiftleft(1L, cast(b & 63 as int))")
+        set_bits = keys.select(at.alias("b")).groupBy(F.shiftrightunsigned("b", 6).alias("w")).agg(F.bit_or(one).alias("x")).toArrow()  # at most bits / 64 words
+        words = np.zeros(bits // 64, np.uint64)
+        words[set_bits.column("w").to_numpy()] = set_bits.column("x").to_numpy().view(np.uint64)
+        self.info = self.work.keep(self.listed(bits, words), "sets")
+        lists = self.info.select("id", F.explode("keys").alias("key")).join(keys, "key")
+        self.lists = self.distinct_lists(self.work.keep(lists, "entries"))
+
+    def distinct_lists(self, lists: DataFrame) -> DataFrame:
+        """key, id, least, c: lists of two members at least; of those with the same members one."""
+        size = lists.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x")).where("c > 1")
+        size = size.groupBy("c", "least", "x").agg(F.min("key").alias("key")).select("key", "c", "least")
+        return self.work.keep(lists.join(size, "key"), "lists")
+
+    def checked(self, pairs: DataFrame, signed: bool = False) -> DataFrame:
+        """The pairs (a, b) that link; signed: their signatures have been compared."""
+        percent = self.percent
+
+        def sides(column: str) -> tuple[DataFrame, DataFrame]:
+            return tuple(self.info.select(F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col(column).alias(f"x{e}")) for e in "ab")
+
+        def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for i in (4, 5))
+                    apart = np.abs(p - q).sum(axis=1, dtype=np.int64)
+                    both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+                    yield batch.select([0, 1]).filter(pa.array((100 + percent) * apart <= (100 - percent) * both))
+
+        def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(4), batch.column(5), strict=True):
+                    p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(p) + len(q) - both))
+                yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+        def kept(pairs: DataFrame, column: str, test) -> DataFrame:
+            left, right = sides(column)
+            both = pairs.join(right, "b").join(left, "a").where((F.least("na", "nb") * 100) >= F.greatest("na", "nb") * percent)
+            return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(test, "a long, b long")
+
+        if not signed:
+            pairs = self.work.keep(kept(pairs, "sig", close), "close")
+        return self.work.keep(kept(pairs, "s", linked), "links")
+
+    def split(self, lists: DataFrame, salt: int) -> DataFrame:
+        """key, id: lists cut by the parts of another hash, on which linked members agree too."""
+        percent, ends = self.percent, self.ends
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    keys, of = part_keys([np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()], ends, percent, salt)
+                    old = batch.column(0).to_numpy().view(np.uint64)[of]
+                    yield pa.RecordBatch.from_arrays([pa.array(mix64(old * _SALT[1] + keys).view(np.int64)), batch.column(1).take(pa.array(of))], names=["key", "id"])
+
+        return lists.select("key", "id").join(self.info.select("id", "s"), "id").select("key", "id", "s").mapInArrow(run, "key long, id long")
+
+    def compared(self, lists: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of one list with different roots, whose signatures are close enough. lists: key, id, root, c."""
+        percent = self.percent
+        blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
+        signed = lists.join(self.info.select("id", "n", "sig"), "id").withColumn("blocks", blocks).withColumn("own", own)
+        sent = signed.select("key", "id", "root", "n", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        pair = sent.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "n", "sig", "own")
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[list] = []
+            now = None
+
+            def found() -> Iterator[pa.RecordBatch]:
+                (_, i, j), m = now, len(held)
+                ids, roots, n, own = (np.array([x[k] for x in held], np.int64) for k in (0, 1, 2, 4))
+                sig = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(m, BUCKETS).astype(np.int16)
+                names, of, count = np.unique(roots, return_inverse=True, return_counts=True)
+                if len(names) < 2:
+                    return
+                main = count[of] == count.max()
+                for x in np.flatnonzero(~main | (count.max() * 2 <= m)):  # the largest component's members meet the others' turn
+                    y = np.flatnonzero((roots != roots[x]) & ((ids > ids[x]) | main) & ((own != own[x]) if i != j else True))
+                    y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                    if len(y):
+                        apart = np.abs(sig[y] - sig[x]).sum(axis=1, dtype=np.int64)
+                        y = y[(100 + percent) * apart <= (100 - percent) * (n[y] + n[x])]
+                        if len(y):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[y], ids[x])), pa.array(np.maximum(ids[y], ids[x]))], names=["a", "b"])
+
+            for batch in batches:
+                for key, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if now != (key, i, j):
+                        if held:
+                            yield from found()
+                        now, held = (key, i, j), []
+                    held.append(rest)
+            if held:
+                yield from found()
+
+        ordered = pair.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return ordered.mapInArrow(scan, "a long, b long").distinct()
+
+    def contested(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """key, id, root, c of lists of three members at least in several components."""
+        placed = lists.where("c > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
+        apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
+        return self.work.keep(placed.join(apart, "key"), "contested")
+
+    def cut_to_size(self, lists: DataFrame) -> DataFrame:
+        """The contested lists, the larger ones cut by another hash."""
+        large = lists.where(F.col("c") > SPLIT)
+        if large.isEmpty():
+            return lists
+        finer = self.distinct_lists(self.work.keep(self.split(large, 1), "finer"))
+        finer = finer.join(large.select("id", "root").distinct(), "id").select("key", "id", "root", "c")
+        return self.work.keep(lists.where(F.col("c") <= SPLIT).select("key", "id", "root", "c").unionAll(finer), "cut")
+
+    def first_pairs(self) -> DataFrame:
+        return self.work.keep(self.lists.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+
+    def roots(self) -> DataFrame:
+        """node, root: names of the sets that link, and of their components."""
+        tried = self.first_pairs()
+        links = self.checked(tried)
+        roots = self.work.keep(components(links, self.work), "roots")
+        left = self.contested(self.lists, roots)
+        if not left.isEmpty():
+            more = self.work.keep(self.compared(self.cut_to_size(left)).join(tried, ["a", "b"], "left_anti"), "more")
+            found = self.checked(more, signed=True)
+            if not found.isEmpty():
+                roots = self.work.keep(components(links.unionAll(found), self.work), "roots")
+        names = self.info.select("id", "node")
+        named = roots.withColumnRenamed("node", "id").join(names, "id").select("node", "root")
+        return named.join(names.select(F.col("id").alias("root"), F.col("node").alias("name")), "root").select("node", F.col("name").alias("root"))
+
+    def links(self) -> DataFrame:
+        """a, b: names of the two sets of every link."""
+        lists = self.cut_to_size(self.lists.select("key", "id", F.col("id").alias("root"), "c"))
+        links = self.checked(self.work.keep(self.compared(lists), "pairs"), signed=True)
+        one, two = (self.info.select(F.col("id").alias(e), F.col("node").alias(f"n{e}")) for e in "ab")
+        return links.join(one, "a").join(two, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+
+
+def components(links: DataFrame, work: Scratch) -> DataFrame:
     """node, root: smallest node reachable, for all nodes of links (a, b), by large-star and small-star steps."""
-    stars = materialise(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "stars")
-    mark = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+    stars = work.keep(links.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "stars")
+    mark = lambda e: tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
     before = None
     while (now := mark(stars)) != before:
         before = now
         both = stars.select("u", "v").unionAll(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select("v", F.col("m").alias("u")).where("u <> v").distinct()
-        large = materialise(large, "large")
+        large = work.keep(large, "large")
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").select(F.explode(F.array(F.struct("v", F.col("m").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u <> v").distinct()
-        stars = materialise(small, "stars")
+        stars = work.keep(small, "stars")
     roots = stars.select(F.col("v").alias("node"), F.col("u").alias("root"))
     return roots.unionAll(roots.select("root", "root").distinct().toDF("node", "root"))
 
 
-def shared_lists(docs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """key, node, n, least (node of the list) of the lists' entries; lists of one entry end here. rows: of set_rows."""
-    limit = 100 * (MOST_LIGHT + 1) // percent
-    known = rows.where("node is not null").select("node", "n").distinct()
-    sizes = {r.n: r.c for r in known.where(F.col("n") <= limit).groupBy("n").agg(F.count("*").alias("c")).collect()}
-    largest = known.agg(F.max("n").alias("n")).first().n or 1
-    light = boundary(sizes, percent)
-    entries = list_entries(docs, width, percent, light, largest).distinct()
-    entries = materialise(entries, "entries")
-    shared = entries.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("c")).where("c > 1").select("key", "least")
-    return materialise(entries.join(materialise(shared, "shared"), "key"), "lists")
-
-
 def rooted(docs: DataFrame, width: int, percent: int, key: str | None = None) -> DataFrame:
-    """doc_id, n, root (smallest node reachable by links; none for empty sets) of every row, and its column key."""
+    """doc_id, n, root (name of the component; none for empty sets) of every row, and its column key."""
     tune(docs.sparkSession)
-    rows = materialise(set_rows(docs, width, key), "rows")
-    lists = shared_lists(docs, rows, width, percent)
-    stars = lists.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    tried = materialise(stars, "tried")
-    links = materialise(checked(tried, docs, rows, width, percent), "links")
-    roots = materialise(components(links), "roots")
-    placed = lists.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = materialise(placed.join(apart, "key"), "apart")
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("root2"))
-    sized = (F.least("n", "m") * 100) >= F.greatest("n", "m") * percent
-    more = left.withColumnRenamed("node", "a").join(other, "key").where(F.col("a") < F.col("b")).where(F.col("root") != F.col("root2")).where(sized).select("a", "b").distinct()
-    more = materialise(more.join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        links = materialise(links.unionAll(checked(more, docs, rows, width, percent)), "links")
-        roots = materialise(components(links), "roots")
-    own = [key] if key else []
-    return materialise(rows.join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"), *own), "named")
+    with Scratch(docs.sparkSession) as work:
+        rows = work.keep(set_rows(docs, width, key), "rows")
+        roots = Join(docs, rows, width, percent, work).roots()
+        own = [key] if key else []
+        known = rows.where("node is not null").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"), *own)
+        empty = rows.where("node is null").select("doc_id", "n", F.col("node").alias("root"), *own)
+        return work.result(known.unionAll(empty), "named")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) of every document."""
     named = rooted(docs, width, percent)
-    least = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "root", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = named.where("root is not null")
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    out = known.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionAll(named.where("root is null").select("doc_id", "n", "doc_id"))
 
 
 def near_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """a, b (a < b) of all links between distinct sets, named as set_rows names them: each pair of a list is checked, in one
+    """a, b (a < b) of all links between distinct sets, named as set_rows names them: every pair of a list is compared, in one
     component or not. Near copies of one another give all their pairs, so this grows with the square of such a family."""
     tune(docs.sparkSession)
-    rows = materialise(set_rows(docs, width), "rows")
-    lists = shared_lists(docs, rows, width, percent)
-    other = lists.select("key", F.col("node").alias("b"), F.col("n").alias("m"))
-    sized = (F.least("n", "m") * 100) >= F.greatest("n", "m") * percent
-    pairs = lists.withColumnRenamed("node", "a").join(other, "key").where(F.col("a") < F.col("b")).where(sized).select("a", "b").distinct()
-    return checked(materialise(pairs, "pairs"), docs, rows, width, percent)
+    with Scratch(docs.sparkSession) as work:
+        rows = work.keep(set_rows(docs, width), "rows")
+        return work.result(Join(docs, rows, width, percent, work).links(), "near")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, by rows: that with the smallest doc_id (null is the largest, of repeated ids any
     one row). Rows with empty sets stay. Rows are told apart by a number that is written down with them."""
     key = free_name(docs, "row_key")
-    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    named = rooted(keyed, width, percent, key)
+    with Scratch(docs.sparkSession) as work:
+        keyed = work.result(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+        named = rooted(keyed, width, percent, key)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("k")))
     kept = named.where("root is not null").groupBy("root").agg(first.alias("x")).select(F.col("x.k").alias(key))
     kept = kept.unionAll(named.where("root is null").select(key))

@@ -14,6 +14,7 @@ written. An empty table gives a folder without files.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,8 +26,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, shared_folder, tune
+from gridloom.llm.common import PIECE_BYTES, materialise, shared_folder, tune
 from gridloom.llm.files import read_files, write_files
+from gridloom.llm.words import WordCodes, pieces, word_level
 
 MAGIC, CHUNK_BITS, RANK_BITS = b"DACTOKN1", 8, 512
 #: Tokens after which a task closes a file, between documents.
@@ -114,14 +116,46 @@ def image_of(range_: int, place: int, ids: list[int | None], tokens: list[np.nda
     return b"".join([head, bytes(i is None for i in ids), np.array([i or 0 for i in ids], "<i8").tobytes(), starts.tobytes(), *levels])
 
 
-@lru_cache(maxsize=2)
-def library_tokenizer(path: str):
-    from tokenizers import Tokenizer
+class LibraryCodes:
+    """Ids of whole texts as the tokenizers library gives them, for its word-level layout: NFC, lower case, white space
+    dropped, then letters, single numbers and others apart. Texts are normalised and split here; each different word goes
+    through the library once, and so does a text as a whole that holds an added token or too few spaces to be cut."""
+
+    #: Below it all code points are in NFC, and Python lowers each as the library does.
+    PLAIN = 0x300
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.words = WordCodes(word_level, lambda words: [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)])
+        self.whole: dict[str, list[int]] = {}
+        self.beyond = re.compile(f"[{chr(self.PLAIN)}-{chr(0x10FFFF)}]")
+
+    def plain(self, text: str) -> str:
+        return text.lower() if text.isascii() or not self.beyond.search(text) else self.library.normalizer.normalize_str(text)
 
-    out = Tokenizer.from_file(path)
-    out.no_truncation()
-    out.no_padding()
-    return out
+    def _alone(self, text: str) -> list[int] | None:
+        return self.whole.get(text) if self.whole else None
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text."""
+        ready, self.whole = [], {}
+        for text in texts:
+            plain = self.plain(text)
+            if any(t in text for t in self.added) or (len(plain) > PIECE_BYTES // 2 and pieces(plain, PIECE_BYTES // 2) is None):
+                plain = f"\0{text}"  # apart from any normalised text that is cut here
+                self.whole[plain] = self.library.encode(text, add_special_tokens=False).ids
+            ready.append(plain)
+        return self.words.rows(ready, self._alone)
+
+
+@lru_cache(maxsize=2)
+def library_codes(path: str) -> LibraryCodes:
+    return LibraryCodes(path)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
@@ -135,10 +169,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Non
         # written as a string and a last byte, which the text sink adds
         image = lambda: pa.RecordBatch.from_pydict({"image": pa.array([image_of(own, place, ids, tokens)], pa.binary())})
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = library_tokenizer(tokenizer).encode(text or "", add_special_tokens=False).ids
+            found = library_codes(tokenizer).encode_all([t or "" for t in batch.column(1).to_pylist()])
+            for doc_id, got in zip(batch.column(0).to_pylist(), found, strict=True):
                 ids.append(doc_id)
-                tokens.append(np.array([*got, end_id], np.uint32))
+                tokens.append(np.append(got, np.uint32(end_id)))
                 size += len(tokens[-1])
                 if size >= FILE_TOKENS:
                     yield image()
