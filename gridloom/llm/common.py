@@ -211,12 +211,17 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
 # --- labelled samples -------------------------------------------------------------------------------------------------
 
 
-def labelled_slices(docs: DataFrame, labels: DataFrame, label: str, keep: F.Column, limit: int, slices: int, width: int) -> list[tuple[int, list[str]]]:
-    """(label, slices of the text) of at most limit documents, half of either class, chosen by a hash of their ids.
+#: Bytes of text that a sample holds at most, beside its bound on documents.
+SAMPLE_BYTES = 64 << 20
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, keep: F.Column, limit: int, most_bytes: int = SAMPLE_BYTES) -> list[tuple[int, bytes]]:
+    """(label, whole text) of at most limit documents, half of either class, chosen by a hash of their ids.
 
     keep: which rows of labels may be learned from. Repeated labels of a document count once, the larger label wins;
-    other labels than 0 and 1 are left out. Only ids and labels are gathered first; the ids that are then looked for
-    are at most limit, so they can be broadcast. A long text gives `slices` evenly spread pieces of `width` code points.
+    other labels than 0 and 1 are left out. Only ids, labels and sizes are gathered first; the ids that are then looked
+    for are at most limit, so they can be broadcast. The texts gathered hold most_bytes at most: in the hash's order, a text
+    that would bring them beyond is left out. Of a document's several texts the least one is taken.
     """
     spark = docs.sparkSession
     known = labels.where(keep & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -224,12 +229,20 @@ def labelled_slices(docs: DataFrame, labels: DataFrame, label: str, keep: F.Colu
     picked = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(half).collect()]
     if not picked:
         return []
-    ids = spark.createDataFrame([(int(r.doc_id), int(r.y)) for r in picked], "doc_id long, y int")
+    ids = spark.createDataFrame([(k, int(r.doc_id), int(r.y)) for k, r in enumerate(picked)], "k int, doc_id long, y int")
     text = F.coalesce(F.col("text"), F.lit(""))
-    step = F.greatest(F.length(text) - width, F.lit(0)).cast("double") / max(1, slices - 1)
-    parts = F.when(F.length(text) <= width, F.array(text)).otherwise(F.array(*[F.substring(text, (step * i).cast("int") + 1, F.lit(width)) for i in range(slices)]))
-    rows = docs.select("doc_id", parts.alias("parts")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("y", "parts")).alias("x")).orderBy("doc_id").collect()
-    return [(r.x.y, list(r.x.parts)) for r in rows]
+    sizes = docs.select("doc_id", F.octet_length(text).alias("size")).join(F.broadcast(ids), "doc_id").groupBy("k").agg(F.max("size").alias("size")).collect()
+    size = {r.k: r["size"] for r in sizes}
+    left, chosen = [most_bytes // 2] * 2, []
+    for k, r in enumerate(picked):
+        if k in size and size[k] <= left[int(r.y)]:
+            left[int(r.y)] -= size[k]
+            chosen.append((k, int(r.doc_id), int(r.y)))
+    if not chosen:
+        return []
+    some = spark.createDataFrame(chosen, "k int, doc_id long, y int")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(some), "doc_id").groupBy("k").agg(F.min(F.struct("y", "text")).alias("x")).orderBy("k").collect()
+    return [(r.x.y, r.x.text.encode()) for r in rows]
 
 
 def adam(params: dict[str, np.ndarray], rate: float):

@@ -3,10 +3,11 @@
 A text's UTF-8 bytes are cut into overlapping chunks that cover all of it. Each byte has a learned vector; learned
 filters run over the chunk; each filter's largest activation in the chunk is kept (max pooling). The pooled
 activations are averaged over a document's chunks and combined by a small dense layer into one probability, so a
-document is judged by all of its chunks alike, however long it is.
+document is judged by all of its chunks alike, however long it is. Learning draws documents of both classes at fixed
+shares (a third of label 0), so a score is the probability at those shares.
 
 Defined results: null and empty text are one chunk of padding and get the score learned for that. Repeated rows get
-equal scores. Columns of the input that have an output's name are replaced; all others pass through. Without labels of
+equal scores. op1's held_out is null for a null doc_id. Columns of the input that have an output's name are replaced; all others pass through. Without labels of
 both classes, every score is the smoothed share of label 1.
 """
 
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import adam, grouped, labelled_slices, texts_of, tune
+from gridloom.llm.common import adam, grouped, labelled_texts, texts_of, tune
 
 CHUNK, STRIDE = 512, 448
 WIDTH, HOP, EMBED, FILTERS, HIDDEN = 8, 2, 4, 40, 16
 PAD = 256
-#: At most so many labelled documents are learned from.
+#: At most so many labelled documents are learned from, by all chunks of their whole texts.
 SAMPLE = 3000
+#: Chunks of a document that one step of learning reads, drawn anew in each step from all of its chunks.
+DRAWN = 4
 
 
 @dataclass
@@ -93,14 +96,19 @@ def _cut(unit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return chunk
 
 
-def train(samples: list[tuple[int, list[str]]], steps: int = 900, batch: int = 48, seed: int = 7) -> QualityModel:
-    """Fit the network to (label, slices) by Adam; the same samples give the same model."""
+def _drawn(unit: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Some of a document's chunks, each as likely as any other."""
+    return unit if len(unit) <= DRAWN else unit[rng.choice(len(unit), DRAWN, replace=False)]
+
+
+def train(samples: list[tuple[int, bytes]], steps: int = 900, batch: int = 48, seed: int = 7) -> QualityModel:
+    """Fit the network to (label, whole text) by Adam; the same samples give the same model."""
     y = np.array([s[0] for s in samples], np.float32)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     if len(set(y.tolist())) < 2:
         return QualityModel(prior)
     rng = np.random.default_rng(seed)
-    units = [np.concatenate([_chunks(x.encode()[:CHUNK]) for x in parts]) for _, parts in samples]
+    units = [_chunks(text) for _, text in samples]
     p = {
         "emb": rng.normal(0, 0.5, (257, EMBED)).astype(np.float32),
         "conv": rng.normal(0, (WIDTH * EMBED) ** -0.5, (WIDTH * EMBED, FILTERS)).astype(np.float32),
@@ -115,7 +123,7 @@ def train(samples: list[tuple[int, list[str]]], steps: int = 900, batch: int = 4
     width = (CHUNK - WIDTH) // HOP + 1
     for k in range(steps):
         pick = np.concatenate([rng.choice(sides[0], batch // 3), rng.choice(sides[1], batch - batch // 3)])
-        some = [units[i] if rng.random() < 0.6 else _cut(units[i], rng) for i in pick]
+        some = [_drawn(units[i], rng) if rng.random() < 0.6 else _cut(units[i], rng) for i in pick]
         counts = np.array([len(x) for x in some])
         chunks, owner = np.concatenate(some), np.repeat(np.arange(len(pick)), counts)
         cols = _patches(p, chunks)
@@ -147,8 +155,8 @@ def train(samples: list[tuple[int, list[str]]], steps: int = 900, batch: int = 4
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, keep: F.Column | None = None, limit: int = SAMPLE) -> QualityModel:
-    """Learn from a bounded, documented sample: at most limit labelled documents, four chunks of each."""
-    return train(labelled_slices(docs, labels, "quality", F.lit(True) if keep is None else keep, limit, 4, CHUNK))
+    """Learn from a bounded, documented sample: whole texts of at most limit labelled documents, and SAMPLE_BYTES of them."""
+    return train(labelled_texts(docs, labels, "quality", F.lit(True) if keep is None else keep, limit))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, text: str = "text", out: str = "score") -> DataFrame:

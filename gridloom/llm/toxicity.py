@@ -4,10 +4,14 @@ A text is a sequence of words (runs of ASCII letters and digits and of bytes fro
 is a learned vector of the word (one shared vector for words outside the learned vocabulary) beside the mean of learned
 vectors of its character trigrams (of bytes, with the word's ends marked). Gated recurrent units read each window of
 words in both directions, attention pools the states, and a logistic layer scores the window. Overlapping windows
-cover the whole text; a text's score is that of its worst window.
+cover the whole text, counted from its start; a text's score is that of its worst window. A text is read in pieces that
+end between words, with the words that the next window needs carried over, so a score doesn't depend on the pieces. A run
+of more than MOST_WORD bytes without an end is read as words of that length.
+
+Learning draws documents of both classes at equal shares, so a score is the probability at those shares.
 
 Defined results: null, empty and word-less texts are one empty window and get the score of that. Repeated rows get
-equal scores. Columns of the input that have an output's name are replaced; all others pass through. Without labels of
+equal scores. op8's held_out is null for a null doc_id. Columns of the input that have an output's name are replaced; all others pass through. Without labels of
 both classes, every score is the smoothed share of label 1.
 """
 
@@ -21,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _hash_piece, adam, grouped, labelled_slices, lower_table, texts_of, tune
+from gridloom.llm.common import _INV, _POW, PIECE_BYTES, adam, grouped, labelled_texts, lower_table, mix64, texts_of, tune
 
 WINDOW, STEP = 32, 24
 WORD_DIM, CHAR_DIM, STATE, ATTEND = 12, 8, 12, 8
 TRIGRAMS = 1 << 13
-#: At most so many words get a vector of their own: those in most sampled documents.
-VOCABULARY = 30_000
-#: At most so many labelled documents are learned from, by SLICES pieces of SLICE code points.
-SAMPLE, SLICES, SLICE = 4000, 4, 1500
-PIECE = 1 << 17
+#: At most so many labelled documents are learned from, by all windows of their whole texts. A word gets a vector of its own
+#: when LEAST_DOCS of them have it; all others share one. SAMPLE and common.SAMPLE_BYTES bound the vocabulary.
+SAMPLE, LEAST_DOCS = 4000, 2
+#: Windows of a document that one step of learning goes back through: its worst ones of all, at that step.
+WORST = 24
+#: Bytes that are read at once, and of the longest word.
+PIECE, MOST_WORD = 1 << 17, 1 << 15
 
 _VALUES = lower_table(bytes(b for b in range(128) if not chr(b).isalnum()), True)
 _BYTES = _VALUES.astype(np.int64)  # 0 outside words
@@ -40,16 +46,41 @@ def read_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     """Word hashes, words before each text, bytes' trigram buckets in word order, and the first of them of each word."""
     joined = b"  ".join(texts) + b" "
     data = np.frombuffer(joined, np.uint8)
-    h, first, last = _hash_piece(data, _VALUES)
+    inside = _BYTES[data] != 0
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
+    first, last = edge[::2], edge[1::2]
+    if len(first) and (last - first).max() > MOST_WORD:
+        per = -(-(last - first) // MOST_WORD)
+        owner = np.repeat(np.arange(len(first)), per)
+        part = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
+        first, last = first[owner] + part * MOST_WORD, np.minimum(first[owner] + (part + 1) * MOST_WORD, last[owner])
+    h = np.concatenate([_hashes(data[a:b], first[i:j] - a, last[i:j] - a) for a, b, i, j in _spans(first, last)]) if len(first) else np.zeros(0, np.uint64)
     starts = np.cumsum([0] + [len(t) + 2 for t in texts])
     before = np.searchsorted(first, starts)
     v = np.concatenate(([0], _BYTES[data], [0]))
-    tri = ((v[:-2] * 31 + v[1:-1]) * 127 + v[2:]) * 2654435761 >> 9 & (TRIGRAMS - 1)
-    inside = v[1:-1] != 0
+    a, b, c = v[:-2], v[1:-1], v[2:]
+    if len(first):  # a split word's parts end like words
+        a, c = a.copy(), c.copy()
+        a[first], c[last - 1] = 0, 0
+    tri = ((a * 31 + b) * 127 + c) * 2654435761 >> 9 & (TRIGRAMS - 1)
     sizes = last - first
     return h, before, tri[inside], np.cumsum(sizes) - sizes
 
 
+def _spans(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of bytes, and of the words in them, of PIECE_BYTES at most."""
+    i = 0
+    while i < len(first):
+        j = int(np.searchsorted(last, first[i] + PIECE_BYTES, "right"))
+        yield int(first[i]), int(last[j - 1]), i, j
+        i = j
+
+
+def _hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * _POW[: len(data)], dtype=np.uint64)))
+    return mix64((total[last] - total[first]) * _INV[first] + (last - first).astype(np.uint64))
+
+
 @dataclass
 class ToxicityModel:
     prior: float
@@ -62,7 +93,7 @@ class ToxicityModel:
         out = []
         for a, b in grouped(texts, PIECE):
             if b - a == 1 and len(texts[a]) > 2 * PIECE:
-                out.append(np.array([max(self._some([x])[0] for x in _overlapping(texts[a]))]))
+                out.append(np.array([max(x.max() for x in self.logits(texts[a]))]))
             else:
                 out.append(self._some(texts[a:b]))
         return 1 / (1 + np.exp(-np.clip(np.concatenate(out), -30, 30))) if out else np.zeros(0)
@@ -75,6 +106,27 @@ class ToxicityModel:
         edges = np.flatnonzero(np.concatenate(([True], np.diff(owner) > 0)))
         return np.maximum.reduceat(logit, edges).astype(np.float64)
 
+    def logits(self, text: bytes) -> Iterator[np.ndarray]:
+        """Logits of a text's windows in order, by pieces."""
+        kept: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        none = True
+        for piece, end in _pieces(text):
+            h, _, tri, first = read_words([piece])
+            h, tri, size = (np.concatenate(x) for x in zip(kept, (h, tri, np.diff(np.append(first, len(tri)))), strict=True))
+            n = len(h)
+            done = max(1, -(-(n - WINDOW) // STEP) + 1) if end else max(0, (n - WINDOW) // STEP + 1)  # whole windows, or all
+            if end and not none and n <= WINDOW - STEP:
+                return  # the last window had these words
+            if done:
+                first = np.cumsum(size) - size
+                at = np.arange(done)[:, None] * STEP + np.arange(WINDOW)
+                mask = at < n
+                x = self.inputs(h, tri, first)[0]
+                yield forward(self.p, x, np.where(mask, at, -1), mask)["logit"].astype(np.float64)
+                none = False
+            gone = min(n, done * STEP)
+            kept = (h[gone:], tri[int(size[:gone].sum()) :], size[gone:])
+
     def inputs(self, h: np.ndarray, tri: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word inputs with a row of zeros at the end (padding), vocabulary rows and lengths of the words."""
         at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
@@ -87,11 +139,16 @@ class ToxicityModel:
         return x, word, sizes
 
 
-def _overlapping(t: bytes) -> Iterator[bytes]:
-    """Pieces of a very long text that share more than a window's reach of bytes."""
-    reach = PIECE // 8
-    for at in range(0, max(1, len(t) - reach), PIECE - reach):
-        yield t[at : at + PIECE]
+def _pieces(t: bytes) -> Iterator[tuple[bytes, bool]]:
+    """Pieces that end between words, or between parts of a split word, and whether a piece is the last."""
+    at = 0
+    while at < len(t):
+        end = min(at + PIECE, len(t))
+        if end < len(t):
+            out = np.flatnonzero(_BYTES[np.frombuffer(t, np.uint8, end - at, at)] == 0)
+            end = at + (int(out[-1]) + 1 if len(out) else PIECE // MOST_WORD * MOST_WORD)
+        yield t[at:end], end == len(t)
+        at = end
 
 
 def windows(before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,18 +226,16 @@ def backward(p: dict[str, np.ndarray], x: np.ndarray, at: np.ndarray, mask: np.n
     return g, dx
 
 
-def train(samples: list[tuple[int, list[str]]], epochs: int = 4, batch: int = 32, seed: int = 5) -> ToxicityModel:
-    """Fit to (label, slices). A document's logit is a soft maximum over its windows, so the labels find the windows."""
+def train(samples: list[tuple[int, bytes]], epochs: int = 4, batch: int = 32, seed: int = 5) -> ToxicityModel:
+    """Fit to (label, whole text). A document's logit is a soft maximum over its windows, so the labels find the windows."""
     y = np.array([s[0] for s in samples], np.float32)
     prior = float((y.sum() + 0.5) / (len(y) + 1))
     if len(set(y.tolist())) < 2:
         return ToxicityModel(prior)
     rng = np.random.default_rng(seed)
-    texts = [" \n ".join(parts).encode() for _, parts in samples]
-    read = [read_words([t]) for t in texts]
+    read = [read_words([text]) for _, text in samples]
     seen, count = np.unique(np.concatenate([np.unique(r[0]) for r in read]), return_counts=True)
-    often = np.lexsort((seen, -count))[:VOCABULARY]
-    vocabulary = np.sort(seen[often[count[often] >= 2]])
+    vocabulary = seen[count >= LEAST_DOCS]
     dims, states = WORD_DIM + CHAR_DIM, 2 * STATE
     p = {
         "word": rng.normal(0, 0.1, (len(vocabulary) + 1, WORD_DIM)),
@@ -202,7 +257,7 @@ def train(samples: list[tuple[int, list[str]]], epochs: int = 4, batch: int = 32
     for k in range(rounds):
         rate = 1.0 if k < rounds * 0.7 else 0.3
         pick = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-        h, before, tri, first = _together([read[i] for i in pick])
+        h, before, tri, first = _together([_worst(model, read[i]) for i in pick])
         x, word, sizes = model.inputs(h, tri, first)
         at, mask, owner = windows(before)
         f = forward(p, x, at, mask, keep=True)
@@ -224,6 +279,21 @@ def train(samples: list[tuple[int, list[str]]], epochs: int = 4, batch: int = 32
     return model
 
 
+def _worst(model: ToxicityModel, read: tuple) -> tuple:
+    """The words of the WORST worst of all a document's windows; a document of fewer whole."""
+    h, before, tri, first = read
+    at, mask, _ = windows(before)
+    if len(at) <= WORST:
+        return read
+    x = model.inputs(h, tri, first)[0]
+    logit = np.concatenate([forward(model.p, x, at[a : a + 512], mask[a : a + 512])["logit"] for a in range(0, len(at), 512)])
+    chosen = np.sort(np.argpartition(-logit, WORST)[:WORST])
+    words = np.unique(at[chosen][mask[chosen]])  # neighbours share words; windows are laid anew over these
+    sizes = np.diff(np.append(first, len(tri)))[words]
+    of = np.repeat(first[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    return h[words], np.array([0, len(words)]), tri[of], np.cumsum(sizes) - sizes
+
+
 def _together(read: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = [len(r[2]) for r in read]
     shift = np.cumsum([0, *sizes[:-1]])
@@ -231,8 +301,8 @@ def _together(read: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, keep: F.Column | None = None, limit: int = SAMPLE) -> ToxicityModel:
-    """Learn from a bounded, documented sample: at most limit labelled documents, SLICES pieces of each."""
-    return train(labelled_slices(docs, labels, "toxic", F.lit(True) if keep is None else keep, limit, SLICES, SLICE))
+    """Learn from a bounded, documented sample: whole texts of at most limit labelled documents, and SAMPLE_BYTES of them."""
+    return train(labelled_texts(docs, labels, "toxic", F.lit(True) if keep is None else keep, limit))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "score") -> DataFrame:
