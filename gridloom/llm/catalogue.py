@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.OP3_SQL, "op9_topk": topk.OP9_SQL, "op10_mixing": mixing.OP10_SQL}
+    return {"op3_chat": chat.OP3_SQL, "op4_warc": warc.OP4_SQL, "op9_topk": topk.OP9_SQL, "op10_mixing": mixing.OP10_SQL}

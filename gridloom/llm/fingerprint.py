@@ -6,7 +6,9 @@ two sketches estimate resemblance (Jaccard), containment and, one by one, the nu
 has fewer than SIZE shingles, all estimates are exact.
 
 Defined results: null and empty text, and text of white space alone, have the empty sketch, written "". Two empty
-sketches have likeness 1, an empty and another one 0.
+sketches have likeness 1, an empty and another one 0. with_next: null ids come last, of rows with one id the text decides,
+a single row follows itself, an empty table gives no rows; of the input's columns it reads doc_id and text only.
+fingerprint_documents keeps all columns but one named as its output.
 """
 
 from __future__ import annotations
@@ -107,23 +109,36 @@ def distinct_of(a: pa.Array) -> pa.Array:
     return pa.array([distinct(from_text(x)) for x in a.to_pylist()], pa.float64())
 
 
+def _turned(x: F.Column) -> F.Column:
+    """16 hex digits with their bytes in the other order."""
+    return F.concat(*[F.substring(x, at, 2) for at in range(15, 0, -2)])
+
+
 def merge_fingerprints(parts: DataFrame, keys: list[str], fingerprint: str = "fingerprint", size: int = SIZE) -> DataFrame:
-    """One fingerprint per key from those of its parts, by DataFrame operations: a key's hashes are cut to the size
-    smallest ones by a ranked window (which Spark applies before the shuffle too), so no group is gathered whole."""
+    """keys and one fingerprint per key from those of its parts, by DataFrame operations: a key's hashes are cut to the size
+    smallest ones by a ranked window (which Spark applies before the shuffle too), so no group is gathered whole. Null and
+    empty fingerprints add nothing; keys may be null."""
     from pyspark.sql import Window
 
-    decoded = F.unbase64(F.coalesce(F.col(fingerprint), F.lit("")))
-    hexes = F.expr("transform(filter(sequence(0, greatest(length(__b) div 8 - 1, 0)), i -> length(__b) >= 8), i -> hex(reverse(substring(__b, i * 8 + 1, 8))))")
-    one = parts.select(*keys, decoded.alias("__b")).select(*keys, F.explode_outer(hexes).alias("__h")).distinct()
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("__h").asc_nulls_last()))
-    least = one.withColumn("__r", rank).where(F.col("__r") <= size)
-    bytes_of = F.expr("base64(unhex(array_join(transform(array_sort(collect_list(__h)), h -> hex(reverse(unhex(h)))), '')))")
-    return least.groupBy(*keys).agg(F.regexp_replace(bytes_of, "[\r\n]", "").alias(fingerprint))
+    taken, names = {k.lower() for k in keys} | {fingerprint.lower()}, []
+    for name in ("h", "r"):
+        while name in taken:
+            name = f"_{name}"
+        names.append(name)
+    h, r = names
+    digits = F.hex(F.unbase64(F.coalesce(F.col(fingerprint), F.lit(""))))
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.floor(F.length(digits) / 16).cast("int") - 1, F.lit(0))), lambda i: F.length(digits) >= 16)
+    hashes = F.transform(places, lambda i: _turned(F.substr(digits, i * 16 + 1, F.lit(16))))
+    one = parts.select(*keys, F.explode_outer(hashes).alias(h)).distinct()
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(h).asc_nulls_last()))
+    least = one.withColumn(r, rank).where(F.col(r) <= size)
+    text = F.base64(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(h)), _turned), "")))
+    return least.groupBy(*keys).agg(F.regexp_replace(text, "[\r\n]", "").alias(fingerprint))
 
 
 # --- neighbours in descending order of the id -------------------------------------------------------------------------
 
-#: Rows of a bucket of ids, and the most buckets whose first ids the driver holds.
+#: Rows of a bucket of ids, and the most buckets whose first ids the driver holds; beyond, buckets have more rows.
 BUCKET_ROWS, MOST_BUCKETS = 2048, 20_000
 
 

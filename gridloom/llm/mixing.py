@@ -13,7 +13,7 @@ source stay empty; no document is dropped or repeated. `mixed` is true for slots
 there the weights hold.
 
 Defined results: a null source is a source of its own. Without given weights a source's weight is the rounded share of
-the square root of its count, at least 1; with given ones, unnamed sources weigh 1. Null ids and texts are ordered as
+the square root of its count, at least 1; with given ones, unnamed sources weigh 1, and a sum beyond MOST_GIVEN is an error. Null ids and texts are ordered as
 empty; repeated rows are kept, next to each other. An empty table gives an empty result. Columns of the input that have
 an output's name are replaced.
 """
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import free_name
 
-#: Documents of one block, the scale of derived weights, and the most sources whose period is scheduled.
-BLOCK_ROWS, SCALE, MOST_SOURCES = 16, 100, 10_000
+#: Documents of one block, the scale of derived weights, the most sources whose period is scheduled, and the largest sum of
+#: given weights, in lowest terms.
+BLOCK_ROWS, SCALE, MOST_SOURCES, MOST_GIVEN = 16, 100, 10_000, 100_000
 OUTPUTS = ("source_rank", "block", "slot", "mixed")
 
 
@@ -34,6 +35,8 @@ def source_weights(docs: DataFrame, given: dict[str, int] | None = None, scale:
     """s (source), n (documents), w (weight)."""
     counts = docs.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("n"))
     if given:
+        if any(w < 1 for w in given.values()) or sum(given.values()) > MOST_GIVEN:
+            raise ValueError(f"given weights are positive integers that sum to {MOST_GIVEN} at most")
         known = F.create_map(*[F.lit(x) for kv in given.items() for x in kv])
         return counts.withColumn("w", F.coalesce(F.try_element_at(known, F.col("s")), F.lit(1)).cast("long"))
     total = counts.agg(F.sum("n").alias("t"))
@@ -62,30 +65,31 @@ def pfair_period(weights: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """docs with source_rank, block (within the source), slot and mixed."""
     rows = docs.drop(*[c for c in docs.columns if c.lower() in OUTPUTS])
-    hash_, bucket, offset, key = (free_name(rows, c) for c in ("mix_hash", "mix_bucket", "mix_offset", "mix_source"))
+    wide = rows.select("*", *[F.lit(0).alias(c) for c in OUTPUTS])  # names that may not be used
+    hash_, bucket, offset, key, place = (free_name(wide, f"mix_{c}") for c in ("hash", "bucket", "offset", "source", "place"))
     none = F.lit("")
     hashed = rows.withColumn(hash_, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), none), F.lit(":"), F.coalesce("text", none)))).withColumn(bucket, F.substring(hash_, 1, 3))
-    counts = hashed.groupBy(F.col("source").alias(key), F.col(bucket).alias(f"{bucket}_b")).agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy(key).orderBy(f"{bucket}_b").rowsBetween(Window.unboundedPreceding, -1))
-    counts = counts.select(F.col(key), F.col(f"{bucket}_b"), F.coalesce(before, F.lit(0)).alias(offset))
+    counts = hashed.groupBy(F.col("source").alias(key), F.col(bucket).alias(place)).agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(key).orderBy(place).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(key), F.col(place), F.coalesce(before, F.lit(0)).alias(offset))
     within = F.row_number().over(Window.partitionBy("source", bucket).orderBy(hash_, "doc_id"))
     ranked = hashed.withColumn("source_rank", within.cast("long") - 1)
-    ranked = ranked.join(counts, ranked["source"].eqNullSafe(counts[key]) & (ranked[bucket] == counts[f"{bucket}_b"])).withColumn("source_rank", F.col("source_rank") + F.col(offset))
-    ranked = ranked.drop(key, f"{bucket}_b", offset, bucket, hash_).withColumn("block", F.floor(F.col("source_rank") / block_rows).cast("long"))
+    ranked = ranked.join(counts, ranked["source"].eqNullSafe(counts[key]) & (ranked[bucket] == counts[place])).withColumn("source_rank", F.col("source_rank") + F.col(offset))
+    ranked = ranked.drop(key, place, offset, bucket, hash_).withColumn("block", F.floor(F.col("source_rank") / block_rows).cast("long"))
     sources = source_weights(rows, weights)
     period = pfair_period(sources)
     spent = sources.select("s", F.floor((F.col("n") + block_rows - 1) / block_rows).cast("long").alias("have")).withColumnRenamed("s", "s2")
     ends = period.join(F.broadcast(spent), F.col("s").eqNullSafe(F.col("s2"))).where(F.col("have") % F.col("w") == F.col("j"))
     end = ends.agg(F.min(F.floor(F.col("have") / F.col("w")) * F.col("period") + F.col("at")).alias("end"))
-    names = {c: free_name(ranked, f"pf_{c}") for c in ("s", "w", "period", "j", "at", "end")}
-    table = period.join(F.broadcast(end)).select(*[F.col(c).alias(n) for c, n in names.items()])
+    names = {c: free_name(wide, f"pf_{c}") for c in ("s", "w", "period", "j", "at", "end", "source", "weight")}
+    table = period.join(F.broadcast(end)).select(*[F.col(c).alias(names[c]) for c in ("s", "w", "period", "j", "at", "end")])
     # at most MOST_SOURCES sources of bounded weights: the table of one period is bounded
-    sized = F.broadcast(sources.select(F.col("s").alias(names["s"] + "w"), F.col("w").alias(names["w"] + "w")))
-    placed = ranked.join(sized, F.col("source").eqNullSafe(F.col(names["s"] + "w")))
-    placed = placed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col(names["s"])) & (F.col("block") % F.col(names["w"] + "w") == F.col(names["j"])))
+    sized = F.broadcast(sources.select(F.col("s").alias(names["source"]), F.col("w").alias(names["weight"])))
+    placed = ranked.join(sized, F.col("source").eqNullSafe(F.col(names["source"])))
+    placed = placed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col(names["s"])) & (F.col("block") % F.col(names["weight"]) == F.col(names["j"])))
     slot = F.floor(F.col("block") / F.col(names["w"])).cast("long") * F.col(names["period"]) + F.col(names["at"])
     out = placed.withColumn("slot", slot.cast("long")).withColumn("mixed", F.col("slot") < F.col(names["end"]))
-    return out.drop(*names.values(), names["s"] + "w", names["w"] + "w")
+    return out.drop(*names.values())
 
 
 def in_mixed_order(mixed: DataFrame) -> DataFrame:

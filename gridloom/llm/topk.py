@@ -7,10 +7,11 @@ largest norms give and shrinks BINS-fold each time, until its width is one score
 keeps the scores above it, and of those equal to it the k smallest ids of each task; a ranked window breaks the ties by
 id. So no task or driver holds more than a block's queries with BINS counts each, whatever the number of ties.
 
-Scores are integer inner products of floor(256 * x). While 2**53 bounds them they are computed in doubles, exactly; else
-in 64-bit integers, and beyond those an error is raised.
+Scores are integer inner products of floor(256 * x), exact: in doubles while 2**53 bounds a pair's score, else in 64-bit
+integers, and beyond those in Python's, one pair at a time. A score beyond 64 bits counts as the largest (or smallest) long.
 
-Defined results: vectors that are null, empty, or hold null or non-finite components take no part, neither do null ids.
+Defined results: vectors that are null, empty, or hold null or non-finite components (or such that 256 times them is not
+finite) take no part, neither do null ids.
 A candidate of another length than the query's is no candidate. Repeated rows are candidates each, but a row with the
 query's own id is not one; repeated query rows (id and vector) count once. Fewer than k candidates give all of them.
 """
@@ -27,19 +28,24 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialise, tune
 
 #: Queries of one pass over the candidates, and bins of a histogram: what a worker holds is their product of counts.
-QUERY_BLOCK, BINS = 1024, 256
+QUERY_BLOCK, BINS = 4096, 256
 #: Queries of one histogram row.
 SLICE = 32
 #: Candidates that are scored at once.
-ROWS = 2048
+ROWS = 512
+
+
+MOST = (1 << 63) - 1
 
 
 def quantized(vectors: DataFrame, ids: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """id, v (array<long>) of the vectors that take part."""
-    x = F.col(vector)
-    bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
-    whole = vectors.where(F.col(ids).isNotNull() & x.isNotNull() & (F.size(x) > 0)).where(~bad)
-    return whole.select(F.col(ids).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * 256).cast("long")).alias("v"))
+    """id, v (array<double> of integers) of the vectors that take part."""
+    times = F.transform(F.col(vector), lambda e: e.cast("double") * 256)
+    rows = vectors.where(F.col(ids).isNotNull() & F.col(vector).isNotNull()).select(F.col(ids).cast("long").alias("id"), times.alias("v"))
+    bad = F.exists("v", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    whole = rows.where((F.size("v") > 0) & ~bad)
+    # beyond 2**53 a double is an integer already
+    return whole.select("id", F.transform("v", lambda e: F.when(F.abs(e) < float(1 << 53), F.floor(e).cast("double")).otherwise(e)).alias("v"))
 
 
 def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,15 +57,22 @@ def _matrix(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).to_numpy(zero_copy_only=False)[fits], flat[np.repeat(fits, sizes)].reshape(-1, width)
 
 
-def _scorer(vectors: np.ndarray, largest: int):
-    """Exact scores of candidates, queries by candidates."""
-    most = int(np.abs(vectors).max(initial=0)) * largest * vectors.shape[1]
-    if most >= 1 << 63:
-        raise ValueError("scores exceed 64 bits")
-    if most < 1 << 53:
-        q = vectors.astype(np.float64)
-        return lambda c: (q @ c.T.astype(np.float64)).astype(np.int64)
-    return lambda c: vectors @ c.T
+def _scorer(q: np.ndarray):
+    """Exact scores of candidates, queries by candidates, held within 64 bits."""
+    high = np.abs(q).max(axis=1, initial=0)
+
+    def score(c: np.ndarray) -> np.ndarray:
+        bound = high[:, None] * np.abs(c).max(axis=1, initial=0) * (q.shape[1] * 1.0001)
+        with np.errstate(over="ignore", invalid="ignore"):
+            found = q @ c.T
+        if bound.max(initial=0) < 1 << 53:
+            return found.astype(np.int64)
+        out = np.where(bound < 1 << 53, found, 0).astype(np.int64)
+        for i, j in zip(*np.nonzero(bound >= 1 << 53), strict=True):
+            out[i, j] = max(-MOST - 1, min(MOST, sum(int(a) * int(b) for a, b in zip(q[i].tolist(), c[j].tolist(), strict=True))))
+        return out
+
+    return score
 
 
 def _pieces(ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,20 +80,25 @@ def _pieces(ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, np.nda
         yield ids[at : at + ROWS], c[at : at + ROWS]
 
 
-def _histograms(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int, low: np.ndarray, width: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Counts of scores by query and bin; bin b holds low + b * width up to the next one's start. Scores from high on
+def _placed(scores: np.ndarray) -> np.ndarray:
+    """Scores as unsigned numbers in the same order."""
+    return scores.view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _histograms(cands: DataFrame, qid: np.ndarray, q: np.ndarray, low: np.ndarray, width: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Counts of placed scores by query and bin; bin b holds low + b * width up to the next one's start. Scores beyond top
     are known from before and are left out, as are those below low."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(qid), BINS), np.int64)
-        score, rows = _scorer(q, largest), np.arange(len(qid))[:, None] * BINS
+        score, rows = _scorer(q), np.arange(len(qid))[:, None] * BINS
         seen = False
         for batch in batches:
             for ids, c in _pieces(*_matrix(batch, q.shape[1])):
                 seen = True
-                found = score(c)
-                b = (found - low[:, None]) // width[:, None]
-                ok = (b >= 0) & (b < BINS) & (found < high[:, None]) & (ids[None, :] != qid[:, None])
+                found = _placed(score(c))
+                ok = (found >= low[:, None]) & (found <= top[:, None]) & (ids[None, :] != qid[:, None])
+                b = ((found - low[:, None]) // width[:, None]).astype(np.int64)
                 total += np.bincount((b + rows)[ok], minlength=total.size).reshape(total.shape)
         if seen:
             parts = range(0, len(qid), SLICE)
@@ -101,17 +119,18 @@ def _histograms(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int,
     return out
 
 
-def _kth_values(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int, k: int) -> np.ndarray:
+def _kth_values(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: float, k: int) -> np.ndarray:
     """Each query's kth highest score, or a value below all scores when there are fewer candidates."""
-    bound = np.abs(q).sum(axis=1) * largest
-    low = -bound
-    high = bound + 1
-    width = np.maximum(1, -(-(2 * bound + 1) // BINS))
+    bound = [int(min(float(1 << 63), x)) for x in (np.abs(q).sum(axis=1) * largest * 1.0001 + 1).tolist()]
+    zero = 1 << 63
+    low = [max(0, zero - b) for b in bound]
+    top = [min(2 * zero - 1, zero + b) for b in bound]
+    width = [-(-(b - a + 1) // BINS) for a, b in zip(low, top, strict=True)]
     need = np.full(len(qid), k, np.int64)
     done = np.zeros(len(qid), bool)
     while not done.all():
         live = np.flatnonzero(~done)
-        counts = _histograms(cands, qid[live], q[live], largest, low[live], width[live], high[live])
+        counts = _histograms(cands, qid[live], q[live], *(np.array([x[i] for i in live], np.uint64) for x in (low, width, top)))
         from_top = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
         for i, row, upper in zip(live, counts, from_top, strict=True):
             if upper[0] < need[i]:
@@ -120,18 +139,17 @@ def _kth_values(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int,
             b = int(np.flatnonzero(upper >= need[i])[-1])
             need[i] -= upper[b] - row[b]
             low[i] += b * width[i]
-            high[i] = min(high[i], low[i] + width[i])
-            if width[i] == 1:
-                done[i] = True
-            width[i] = max(1, -(-width[i] // BINS))
-    return low
+            top[i] = min(top[i], low[i] + width[i] - 1)
+            done[i] = width[i] == 1
+            width[i] = -(-width[i] // BINS)
+    return np.array([x - zero for x in low], np.int64)
 
 
-def _above(cands: DataFrame, qid: np.ndarray, q: np.ndarray, largest: int, kth: np.ndarray, k: int) -> DataFrame:
+def _above(cands: DataFrame, qid: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int) -> DataFrame:
     """Scores above the kth value, and of those equal to it each task's k smallest ids."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = _scorer(q, largest)
+        score = _scorer(q)
         held: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, np.int64),) * 3
         for batch in batches:
             for ids, c in _pieces(*_matrix(batch, q.shape[1])):
@@ -158,16 +176,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, ids: str = "vec_id",
     schema = "query_id long, rank int, vec_id long, score long"
     if largest is None:
         return spark.createDataFrame([], schema)
-    # bounded blocks of queries: ids are cut by rank within their range, and a block is all that the driver holds
-    queries = materialise(cands.where(is_query).distinct().withColumn("w", F.size("v")).repartitionByRange("w", "id"), "queries").withColumn("file", F.input_file_name())
+    # blocks by a hash of the id, about QUERY_BLOCK each; what is more in one is a block of its own
+    queries = materialise(cands.where(is_query).distinct().withColumn("w", F.size("v")), "queries")
     found = []
-    for r in sorted(queries.groupBy("w", "file").count().collect()):
-        rows = queries.where((F.col("w") == r.w) & (F.col("file") == r.file)).select("id", "v")
-        for block in _blocks(rows, QUERY_BLOCK):
-            qid = np.array([x[0] for x in block], np.int64)
-            q = np.array([x[1] for x in block], np.int64)
-            kth = _kth_values(cands, qid, q, largest, k)
-            found.append(materialise(_above(cands, qid, q, largest, kth, k), "found"))
+    for r in sorted(queries.groupBy("w").count().collect()):
+        blocks = 1 if r["count"] <= QUERY_BLOCK else -(-r["count"] * 9 // (QUERY_BLOCK * 8))  # room for uneven ones
+        of = F.pmod(F.xxhash64("id"), F.lit(blocks))
+        for block_id in range(blocks):
+            for block in _blocks(queries.where((F.col("w") == r.w) & (of == block_id)).select("id", "v"), QUERY_BLOCK):
+                qid = np.array([x[0] for x in block], np.int64)
+                q = np.array([x[1] for x in block], np.float64)
+                kth = _kth_values(cands, qid, q, largest, k)
+                found.append(materialise(_above(cands, qid, q, kth, k), "found"))
     if not found:
         return spark.createDataFrame([], schema)
     both = found[0]

@@ -33,8 +33,9 @@ TRIGRAMS = 1 << 13
 #: At most so many labelled documents are learned from, by all windows of their whole texts. A word gets a vector of its own
 #: when LEAST_DOCS of them have it; all others share one. SAMPLE and common.SAMPLE_BYTES bound the vocabulary.
 SAMPLE, LEAST_DOCS = 4000, 2
-#: Windows of a document that one step of learning goes back through: its worst ones of all, at that step.
-WORST = 24
+#: Windows of a document that one step of learning goes back through: its worst ones of all, at that step; for documents of
+#: more than MANY windows, at the epoch's first step with them.
+WORST, MANY = 24, 512
 #: Bytes that are read at once, and of the longest word.
 PIECE, MOST_WORD = 1 << 17, 1 << 15
 
@@ -253,11 +254,16 @@ def train(samples: list[tuple[int, bytes]], epochs: int = 4, batch: int = 32, se
     step = adam({k: v for k, v in p.items() if k not in ("word", "char")}, 0.01)
     sides = [np.flatnonzero(y == 0), np.flatnonzero(y == 1)]
     rounds = epochs * max(40, len(samples) // batch)
+    long = [len(r[0]) > MANY * STEP for r in read]
+    worst: dict[int, tuple[int, tuple]] = {}
     table = {k: np.full(len(p[k]), 1e-8, np.float32) for k in ("word", "char")}
     for k in range(rounds):
         rate = 1.0 if k < rounds * 0.7 else 0.3
         pick = np.concatenate([rng.choice(s, batch // 2) for s in sides])
-        h, before, tri, first = _together([_worst(model, read[i]) for i in pick])
+        for i in pick:
+            if long[i] and (i not in worst or worst[i][0] != k * epochs // rounds):  # very long ones once an epoch
+                worst[i] = k * epochs // rounds, _worst(model, read[i])
+        h, before, tri, first = _together([worst[i][1] if long[i] else _worst(model, read[i]) for i in pick])
         x, word, sizes = model.inputs(h, tri, first)
         at, mask, owner = windows(before)
         f = forward(p, x, at, mask, keep=True)

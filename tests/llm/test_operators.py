@@ -142,7 +142,7 @@ def test_fingerprints_of_odd_rows(spark):
 def test_scores_of_odd_rows(spark, which):
     rng = np.random.default_rng(4)
     bad, good = ["zzz qqq kkk", "the fine day"]
-    samples = [(int(k % 2), [" ".join([good, bad][k % 2] if rng.random() < 0.5 else "some words" for _ in range(20))]) for k in range(80)]
+    samples = [(int(k % 2), " ".join([good, bad][k % 2] if rng.random() < 0.5 else "some words" for _ in range(20)).encode()) for k in range(80)]
     module, score = (quality, quality.score_quality) if which == "quality" else (toxicity, toxicity.score_toxicity)
     got = score(docs(spark, ODD), module.train(samples)).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
