@@ -19,7 +19,8 @@ Lists are scanned in these steps, none of which gives all pairs of a list.
 3. Every member is compared to its list's first one. Components come from large-star and small-star steps over tables.
 4. Lists of three or more that still hold several components: members of different components are compared in place, by
    blocks of BLOCK members, on signatures: counts of shingles by bucket, whose sum of differences is at most the number of
-   differing shingles, so a pair beyond D can't link. Only pairs within D leave the task. Lists of more than SPLIT members
+   differing shingles, so a pair beyond D can't link. Only pairs within D leave the task; in a first pass only a member's
+   closest one of each other component, then, of lists still in several components, all of them. Lists of more than SPLIT members
    are first cut by the parts of a second, independent hash, on which linked sets agree as well.
 Every candidate is checked on the whole sets. Shingles are 64-bit hashes, sets 128-bit ones; equality of hashes stands for
 equality.
@@ -53,10 +54,11 @@ SPARE = 2
 CLASS_STEPS = 2
 #: Hashed entries that a worker holds before it hands them on.
 HELD = 1 << 18
-#: Most bits of the filter of shared keys that goes to all tasks; with more keys it lets more through, and a join decides.
-FILTER_BITS = 1 << 27
+#: The filter of shared keys that goes to all tasks: bits of a key and for each key, and most bits of all; with more keys it
+#: lets more through, and a join decides.
+KEY_BITS, ROOM, FILTER_BITS = 4, 32, 1 << 29
 #: Buckets of a signature; members of a list that are compared with each other in one task.
-BUCKETS, BLOCK = 128, 256
+BUCKETS, BLOCK = 512, 256
 #: Lists of more contested members are split by a second hash.
 SPLIT = 4096
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -281,8 +283,10 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for names, sets in self._fresh(batches):
                 keys, of = list_keys(sets, self.light, self.ends, self.percent)
-                at = keys & np.uint64(bits - 1)
-                hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+                hit = np.ones(len(keys), bool)
+                for k in range(KEY_BITS):
+                    at = (keys >> np.uint64(8 * k)) & np.uint64(bits - 1)
+                    hit[hit] = (words[(at[hit] >> np.uint64(6)).astype(np.int64)] >> (at[hit] & np.uint64(63)) & np.uint64(1)).astype(bool)
                 keys, of = keys[hit].view(np.int64), of[hit]
                 order = np.argsort(of, kind="stable")
                 keys, counts = keys[order], np.bincount(of, minlength=len(sets))
@@ -316,10 +320,10 @@ class Join:
         """info: the different sets that share a key. lists: key, id, least, c of their lists, each different list once."""
         keys = self.work.keep(self.shared_keys(), "keys")
         n = keys.count()
-        bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
-        at = F.col("key").bitwiseAND(F.lit(bits - 1))
+        bits = min(FILTER_BITS, max(1 << 16, 1 << (ROOM * n - 1).bit_length()))
+        at = F.array(*[F.shiftrightunsigned("key", 8 * k).bitwiseAND(F.lit(bits - 1)) for k in range(KEY_BITS)])
         one = F.expr("shiftleft(1L, cast(b & 63 as int))")
-        set_bits = keys.select(at.alias("b")).groupBy(F.shiftrightunsigned("b", 6).alias("w")).agg(F.bit_or(one).alias("x")).toArrow()  # at most bits / 64 words
+        set_bits = keys.select(F.explode(at).alias("b")).groupBy(F.shiftrightunsigned("b", 6).alias("w")).agg(F.bit_or(one).alias("x")).toArrow()  # at most bits / 64 words
         words = np.zeros(bits // 64, np.uint64)
         words[set_bits.column("w").to_numpy()] = set_bits.column("x").to_numpy().view(np.uint64)
         self.info = self.work.keep(self.listed(bits, words), "sets")
@@ -378,8 +382,9 @@ class Join:
 
         return lists.select("key", "id").join(self.info.select("id", "s"), "id").select("key", "id", "s").mapInArrow(run, "key long, id long")
 
-    def compared(self, lists: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members of one list with different roots, whose signatures are close enough. lists: key, id, root, c."""
+    def compared(self, lists: DataFrame, nearest: bool = False) -> DataFrame:
+        """Pairs (a, b) of members of one list with different roots, whose signatures are close enough; nearest: of a member's
+        with another root's the closest alone. lists: key, id, root, c."""
         percent = self.percent
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
@@ -404,7 +409,11 @@ class Join:
                     y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
                     if len(y):
                         apart = np.abs(sig[y] - sig[x]).sum(axis=1, dtype=np.int64)
-                        y = y[(100 + percent) * apart <= (100 - percent) * (n[y] + n[x])]
+                        close = (100 + percent) * apart <= (100 - percent) * (n[y] + n[x])
+                        y, apart = y[close], apart[close]
+                        if nearest and len(y) > 1:
+                            y = y[np.lexsort((apart, roots[y]))]
+                            y = y[np.unique(roots[y], return_index=True)[1]]
                         if len(y):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[y], ids[x])), pa.array(np.maximum(ids[y], ids[x]))], names=["a", "b"])
 
@@ -422,8 +431,8 @@ class Join:
         return ordered.mapInArrow(scan, "a long, b long").distinct()
 
     def contested(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """key, id, root, c of lists of three members at least in several components."""
-        placed = lists.where("c > 2").join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
+        """key, id, root, c of the lists in several components."""
+        placed = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         return self.work.keep(placed.join(apart, "key"), "contested")
 
@@ -444,12 +453,19 @@ class Join:
         tried = self.first_pairs()
         links = self.checked(tried)
         roots = self.work.keep(components(links, self.work), "roots")
-        left = self.contested(self.lists, roots)
+        left = self.contested(self.lists.where("c > 2"), roots)  # of two members both have been compared
         if not left.isEmpty():
-            more = self.work.keep(self.compared(self.cut_to_size(left)).join(tried, ["a", "b"], "left_anti"), "more")
+            left = self.cut_to_size(left)
+        for nearest in (True, False):  # the closest of other components first, then all that are still apart
+            if left.isEmpty():
+                break
+            more = self.work.keep(self.compared(left, nearest).join(tried, ["a", "b"], "left_anti"), "more")
             found = self.checked(more, signed=True)
             if not found.isEmpty():
-                roots = self.work.keep(components(links.unionAll(found), self.work), "roots")
+                links = links.unionAll(found)
+                roots = self.work.keep(components(links, self.work), "roots")
+            if nearest:
+                left, tried = self.contested(left.drop("root"), roots), tried.unionAll(more)
         names = self.info.select("id", "node")
         named = roots.withColumnRenamed("node", "id").join(names, "id").select("node", "root")
         return named.join(names.select(F.col("id").alias("root"), F.col("node").alias("name")), "root").select("node", F.col("name").alias("root"))
