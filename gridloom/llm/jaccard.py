@@ -19,9 +19,9 @@ Lists are scanned in these steps, none of which gives all pairs of a list.
 3. Every member is compared to its list's first one. Components come from large-star and small-star steps over tables.
 4. Lists of three or more that still hold several components: members of different components are compared in place, by
    blocks of BLOCK members, on signatures: counts of shingles by bucket, whose sum of differences is at most the number of
-   differing shingles, so a pair beyond D can't link. Only pairs within D leave the task; in a first pass only a member's
-   closest one of each other component, then, of lists still in several components, all of them. Lists of more than SPLIT members
-   are first cut by the parts of a second, independent hash, on which linked sets agree as well.
+   differing shingles, so a pair beyond D can't link. Only pairs within D leave the task; each once, from
+   the first list that both are on. Lists of more than SPLIT members are first cut by the parts of a second, independent
+   hash, on which linked sets agree as well.
 Every candidate is checked on the whole sets. Shingles are 64-bit hashes, sets 128-bit ones; equality of hashes stands for
 equality.
 
@@ -382,38 +382,36 @@ class Join:
 
         return lists.select("key", "id").join(self.info.select("id", "s"), "id").select("key", "id", "s").mapInArrow(run, "key long, id long")
 
-    def compared(self, lists: DataFrame, nearest: bool = False) -> DataFrame:
-        """Pairs (a, b) of members of one list with different roots, whose signatures are close enough; nearest: of a member's
-        with another root's the closest alone. lists: key, id, root, c."""
+    def compared(self, lists: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of one list with different roots, whose signatures are close enough; each once, from the
+        first list that both are on. lists: key, id, root, c."""
         percent = self.percent
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
-        signed = lists.join(self.info.select("id", "n", "sig"), "id").withColumn("blocks", blocks).withColumn("own", own)
-        sent = signed.select("key", "id", "root", "n", "sig", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        pair = sent.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "n", "sig", "own")
+        on = lists.groupBy("id").agg(F.collect_list("key").alias("keys"))
+        signed = lists.join(self.info.select("id", "n", "sig").join(on, "id"), "id").withColumn("blocks", blocks).withColumn("own", own)
+        sent = signed.select("key", "id", "root", "n", "sig", "own", "keys", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        pair = sent.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "n", "sig", "own", "keys")
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[list] = []
             now = None
 
             def found() -> Iterator[pa.RecordBatch]:
-                (_, i, j), m = now, len(held)
+                (key, i, j), m = now, len(held)
                 ids, roots, n, own = (np.array([x[k] for x in held], np.int64) for k in (0, 1, 2, 4))
                 sig = np.frombuffer(b"".join(x[3] for x in held), np.uint8).reshape(m, BUCKETS).astype(np.int16)
                 names, of, count = np.unique(roots, return_inverse=True, return_counts=True)
                 if len(names) < 2:
                     return
-                main = count[of] == count.max()
-                for x in np.flatnonzero(~main | (count.max() * 2 <= m)):  # the largest component's members meet the others' turn
+                main = (count[of] == count.max()) & (count.max() * 2 > m)  # members of a component of more than half
+                for x in np.flatnonzero(~main):
                     y = np.flatnonzero((roots != roots[x]) & ((ids > ids[x]) | main) & ((own != own[x]) if i != j else True))
                     y = y[(100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
                     if len(y):
                         apart = np.abs(sig[y] - sig[x]).sum(axis=1, dtype=np.int64)
-                        close = (100 + percent) * apart <= (100 - percent) * (n[y] + n[x])
-                        y, apart = y[close], apart[close]
-                        if nearest and len(y) > 1:
-                            y = y[np.lexsort((apart, roots[y]))]
-                            y = y[np.unique(roots[y], return_index=True)[1]]
+                        y = y[(100 + percent) * apart <= (100 - percent) * (n[y] + n[x])]
+                        y = y[[min(held[x][5] & held[k][5]) == key for k in y]] if len(y) else y
                         if len(y):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[y], ids[x])), pa.array(np.maximum(ids[y], ids[x]))], names=["a", "b"])
 
@@ -423,12 +421,13 @@ class Join:
                         if held:
                             yield from found()
                         now, held = (key, i, j), []
+                    rest[5] = frozenset(rest[5])
                     held.append(rest)
             if held:
                 yield from found()
 
         ordered = pair.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return ordered.mapInArrow(scan, "a long, b long").distinct()
+        return ordered.mapInArrow(scan, "a long, b long")
 
     def contested(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
         """key, id, root, c of the lists in several components."""
@@ -455,17 +454,10 @@ class Join:
         roots = self.work.keep(components(links, self.work), "roots")
         left = self.contested(self.lists.where("c > 2"), roots)  # of two members both have been compared
         if not left.isEmpty():
-            left = self.cut_to_size(left)
-        for nearest in (True, False):  # the closest of other components first, then all that are still apart
-            if left.isEmpty():
-                break
-            more = self.work.keep(self.compared(left, nearest).join(tried, ["a", "b"], "left_anti"), "more")
+            more = self.work.keep(self.compared(self.cut_to_size(left)).join(tried, ["a", "b"], "left_anti"), "more")
             found = self.checked(more, signed=True)
             if not found.isEmpty():
-                links = links.unionAll(found)
-                roots = self.work.keep(components(links, self.work), "roots")
-            if nearest:
-                left, tried = self.contested(left.drop("root"), roots), tried.unionAll(more)
+                roots = self.work.keep(components(links.unionAll(found), self.work), "roots")
         names = self.info.select("id", "node")
         named = roots.withColumnRenamed("node", "id").join(names, "id").select("node", "root")
         return named.join(names.select(F.col("id").alias("root"), F.col("node").alias("name")), "root").select("node", F.col("name").alias("root"))
