@@ -6,22 +6,23 @@ P)) shingles, and so differ in at most D = a + b - 2 c. Equal sets are one node
 Light sets (at most T shingles) enumerate their subsets of the fixed sizes c(a, b) of all light partners b; two that link
 share one. Heavy sets are found through inverted lists. A list of a single shingle would hold all that share a passage, so
 the lists are of parts: the hash space is cut into k > D parts, each differing shingle spoils one part at most, so linked
-sets hold the same shingles in at least k - D >= 1 + SPARE parts, and meet on the lists of those parts' contents. k follows
+sets hold the same shingles in at least k - D parts, and meet on the lists of those parts' contents (pigeonhole). k follows
 from the size class; linked sets are in one class or in neighbouring ones, and a set that can have partners in the next
-class is listed there too. A set lists its empty parts only if it has more than SPARE of them: else linked sets agree on a
-filled one. T is the cheapest boundary by the number of subsets and list entries that the histogram of all sizes gives;
-pairs across the boundary meet on the heavy lists.
+class is listed there too. k exceeds D by so much that linked sets agree on three listed parts (`size_classes`), so a set
+with fewer shared keys links with nothing and is left out. T is the cheapest boundary by the number of subsets and list
+entries that the histogram of all sizes gives; pairs across the boundary meet on the heavy lists.
 
 Lists are scanned in these steps, none of which gives all pairs of a list.
 1. Keys alone: which keys have two different sets. Each task sends at most the least and the largest set of a key for every
    HELD entries, so a frequent key is aggregated before the only shuffle of all entries.
-2. The sets on those keys are read again, once for each different set; lists with the same members are scanned once.
-3. Every member is compared to its list's first one. Components come from large-star and small-star steps over tables.
-4. Lists of three or more that still hold several components: members of different components are compared in place, by
+2. The sets with enough of those keys are read again, once for each different set. The lists with one first member are
+   one group from here on, so a family that meets on many lists is scanned about once.
+3. Every member is compared to its group's first one. Components come from large-star and small-star steps over tables.
+4. Groups of three or more that still hold several components: members of different components are compared in place, by
    blocks of BLOCK members, on signatures: counts of shingles by bucket, whose sum of differences is at most the number of
-   differing shingles, so a pair beyond D can't link. Only pairs within D leave the task; each once, from
-   the first list that both are on. Lists of more than SPLIT members are first cut by the parts of a second, independent
-   hash, on which linked sets agree as well.
+   differing shingles, so a pair beyond D can't link. Only pairs within D leave the task, each once, from the first group
+   that both are in. Groups of more than SPLIT members are first cut by the parts of a second, independent hash, on which
+   linked sets agree as well.
 Every candidate is checked on the whole sets. Shingles are 64-bit hashes, sets 128-bit ones; equality of hashes stands for
 equality.
 
@@ -36,7 +37,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import comb
+from math import ceil, comb, exp
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,18 +50,14 @@ from gridloom.llm.common import Scratch, free_name, mix64, shingles, texts_of, t
 
 #: Largest size that may be light; beyond it subsets are too many.
 MOST_LIGHT = 40
-#: Parts beyond those that linked sets can differ in; a set with more empty parts lists its empty parts too.
-SPARE = 2
-#: Neighbouring size classes are so many factors of 100 / percent apart.
-CLASS_STEPS = 2
 #: Hashed entries that a worker holds before it hands them on.
 HELD = 1 << 18
 #: The filter of shared keys that goes to all tasks: bits of a key and for each key, and most bits of all; with more keys it
 #: lets more through, and a join decides.
 KEY_BITS, ROOM, FILTER_BITS = 4, 32, 1 << 29
-#: Buckets of a signature; members of a list that are compared with each other in one task.
-BUCKETS, BLOCK = 512, 256
-#: Lists of more contested members are split by a second hash.
+#: Buckets of a signature; members of a group that are compared with each other in one task.
+BUCKETS, BLOCK = 256, 256
+#: Groups of more members are split by a second hash.
 SPLIT = 4096
 _SALT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -78,20 +76,38 @@ def subset_sizes(a: int, light: int, percent: int) -> list[int]:
     return sorted({c for b in range(low, high + 1) if (c := shared_least(a, b, percent)) <= min(a, b)})
 
 
-def size_classes(percent: int, upto: int) -> np.ndarray:
-    """Upper ends of size classes; linked sets are in one class or in neighbouring ones."""
-    ends = [1]
-    while ends[-1] < upto:
-        end = ends[-1]
-        for _ in range(CLASS_STEPS):
-            end = max(end + 1, 100 * (end + 1) // percent)
-        ends.append(end)
-    return np.array([*ends, 100 * (ends[-1] + 1) // percent], np.int64)  # the last one has a next one too
+class Classes(NamedTuple):
+    """Size classes by their upper ends: number of parts, most empty parts that a set does not list, and least number of
+    listed parts on which linked sets of that class agree."""
+
+    ends: np.ndarray
+    parts: np.ndarray
+    empty: np.ndarray
+    need: np.ndarray
 
 
-def part_count(end: int, percent: int) -> int:
-    """Parts of a class: linked sets of at most `end` shingles differ in fewer."""
-    return (100 - percent) * 2 * end // (100 + percent) + 1 + SPARE
+def size_classes(percent: int, upto: int) -> Classes:
+    """Linked sets are in one class or in neighbouring ones, which are a quarter apart at least.
+
+    Linked sets of a class differ in at most `apart` shingles, so of apart + 1 + spare parts they agree on 1 + spare. A few
+    parts of a set are empty by chance; spare is beyond their usual number, so that sets need not list empty parts, which
+    many unrelated sets share, and linked sets still agree on several listed ones. Small sets have too few shingles for
+    that; they have two spare parts.
+    """
+    ends = [1]
+    while len(ends) < 2 or ends[-2] < upto:  # the last one that is used has a next one
+        ends.append(max(ends[-1] + 1, 100 * (ends[-1] + 1) // percent, 5 * ends[-1] // 4))
+    rows = []
+    for i, end in enumerate(ends):
+        apart = (100 - percent) * 2 * end // (100 + percent)
+        low = max(1, percent * ((ends[i - 1] if i else 0) + 1) // 100)  # the smallest set that is listed here
+        spare = 2
+        for _ in range(4):
+            parts = apart + 1 + spare
+            chance = parts * exp(-low / parts)
+            spare = max(2, min(ceil(chance + 2 * chance**0.5) + 2, low // 2 - apart - 1))
+        rows.append((apart + 1 + spare, max(2, spare - 2), min(spare - 1, 3)))
+    return Classes(np.array(ends, np.int64), *(np.array(x, np.int64) for x in zip(*rows, strict=True)))
 
 
 def classes_of(n: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +119,10 @@ def classes_of(n: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarra
 def costs(a: int, light: int, percent: int) -> tuple[int, int]:
     """Entries of a set of size a when light, and when heavy."""
     few = sum(comb(a, c) for c in subset_sizes(a, light, percent) if c < a or a > 1)
-    ends = size_classes(percent, 2 * a + 2)
-    own, more = classes_of(np.array([a]), ends, percent)
+    classes = size_classes(percent, a)
+    own, more = classes_of(np.array([a]), classes.ends, percent)
     k = int(own[0])
-    return few, sum(part_count(int(e), percent) for e in ends[k : k + 1 + int(more[0])])
+    return few, int(classes.parts[k : k + 1 + int(more[0])].sum())
 
 
 def boundary(sizes: dict[int, int], percent: int) -> int:
@@ -140,11 +156,10 @@ def subset_keys(h: np.ndarray, light: int, percent: int) -> list[np.ndarray]:
     return out
 
 
-def part_keys(sets: list[np.ndarray], ends: np.ndarray, percent: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(sets: list[np.ndarray], classes: Classes, percent: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the listed parts of non-empty sets, and the set (its place in the list) of each key."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    own, more = classes_of(sizes, ends, percent)
-    counts = np.array([part_count(int(e), percent) for e in ends], np.int64)
+    own, more = classes_of(sizes, classes.ends, percent)
     keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for up in (0, 1):
         chosen = np.arange(len(sets)) if up == 0 else np.flatnonzero(more)
@@ -152,7 +167,7 @@ def part_keys(sets: list[np.ndarray], ends: np.ndarray, percent: int, salt: int
             continue
         h, n = np.concatenate([sets[i] for i in chosen]), sizes[chosen]
         cls = own[chosen] + up
-        parts = counts[cls]
+        parts = classes.parts[cls]
         before = np.cumsum(parts) - parts
         of = np.repeat(np.arange(len(chosen)), n)
         shift = _times(cls + 1 + 1_000_003 * salt)
@@ -165,18 +180,18 @@ def part_keys(sets: list[np.ndarray], ends: np.ndarray, percent: int, salt: int
         full[filled] = True
         owner = np.repeat(np.arange(len(chosen)), parts)
         empty = parts - np.bincount(owner[filled], minlength=len(chosen))
-        listed = full | (empty > SPARE)[owner]
+        listed = full | (empty > classes.empty[cls])[owner]
         place = (np.arange(len(sums)) - before[owner]).astype(np.uint64)
         keys.append(mix64(mix64(sums + shift[owner]) + place * _SALT[0])[listed])
         owners.append(chosen[owner[listed]])
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def list_keys(sets: list[np.ndarray], light: int, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def list_keys(sets: list[np.ndarray], light: int, classes: Classes, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """All keys (of subsets and of parts) of non-empty sets, and the set of each key."""
     least = -(-percent * (light + 1) // 100)
     heavy = [i for i, s in enumerate(sets) if len(s) >= least]
-    keys, owners = part_keys([sets[i] for i in heavy], ends, percent) if heavy else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys, owners = part_keys([sets[i] for i in heavy], classes, percent) if heavy else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     found, of = [keys], [np.array(heavy, np.int64)[owners]]
     for i, s in enumerate(sets):
         if len(s) <= light:
@@ -186,6 +201,14 @@ def list_keys(sets: list[np.ndarray], light: int, ends: np.ndarray, percent: int
     return np.concatenate(found), np.concatenate(of)
 
 
+def needed(sets: list[np.ndarray], light: int, classes: Classes, percent: int) -> np.ndarray:
+    """How many of its keys each set shares with a set that it links to, at least."""
+    n = np.array([len(s) for s in sets], np.int64)
+    own, more = classes_of(n, classes.ends, percent)
+    need = np.where(more, np.minimum(classes.need[own], classes.need[own + 1]), classes.need[own])
+    return np.where(n <= light, 1, need)
+
+
 def _sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     words, at = word_hashes(texts)
     return [np.unique(shingles(words[a:b], width)) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -225,8 +248,7 @@ class Join:
         known = rows.where("node is not null")
         few = known.where(F.col("n") <= limit).select("node", "n").distinct()
         self.light = boundary({r.n: r.c for r in few.groupBy("n").agg(F.count("*").alias("c")).collect()}, percent)
-        self.largest = known.agg(F.max("n").alias("n")).first().n or 1
-        self.ends = size_classes(percent, 2 * self.largest + 2)
+        self.classes = size_classes(percent, known.agg(F.max("n").alias("n")).first().n or 1)
         self._read()
 
     def _fresh(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
@@ -245,7 +267,7 @@ class Join:
                 yield names, sets
 
     def __getstate__(self) -> dict:  # what the tasks need
-        return {k: self.__dict__[k] for k in ("width", "percent", "light", "ends")}
+        return {k: self.__dict__[k] for k in ("width", "percent", "light", "classes")}
 
     def shared_keys(self) -> DataFrame:
         """Keys with two different sets."""
@@ -264,7 +286,7 @@ class Join:
                 return pa.RecordBatch.from_arrays([pa.array(k[ends]), pa.array(u[ends])], names=["key", "u"])
 
             for own, sets in self._fresh(batches):
-                found, of = list_keys(sets, self.light, self.ends, self.percent)
+                found, of = list_keys(sets, self.light, self.classes, self.percent)
                 keys.append(found)
                 names.append(np.array([int.from_bytes(x[:8], "big", signed=True) for x in own], np.int64)[of])
                 held += len(found)
@@ -278,11 +300,11 @@ class Join:
         return entries.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high")).where("low <> high").select("key")
 
     def listed(self, bits: int, words: np.ndarray) -> DataFrame:
-        """id, node, n, sig, keys, s of the different sets with a key in the filter."""
+        """id, node, n, need, sig, keys, s of the different sets that have as many keys in the filter as a link needs."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for names, sets in self._fresh(batches):
-                keys, of = list_keys(sets, self.light, self.ends, self.percent)
+                keys, of = list_keys(sets, self.light, self.classes, self.percent)
                 hit = np.ones(len(keys), bool)
                 for k in range(KEY_BITS):
                     at = (keys >> np.uint64(8 * k)) & np.uint64(bits - 1)
@@ -291,12 +313,13 @@ class Join:
                 order = np.argsort(of, kind="stable")
                 keys, counts = keys[order], np.bincount(of, minlength=len(sets))
                 ends = np.concatenate(([0], np.cumsum(counts)))
-                some = np.flatnonzero(counts)
+                need = needed(sets, self.light, self.classes, self.percent)
+                some = np.flatnonzero(counts >= need)
                 for a in range(0, len(some), 64):  # sets of a long text's size
                     part = some[a : a + 64]
                     yield pa.RecordBatch.from_pydict({
                         "node": pa.array([names[i] for i in part], pa.binary()), "n": pa.array([len(sets[i]) for i in part], pa.int64()),
-                        "sig": pa.array([signature(sets[i]).tobytes() for i in part], pa.binary()),
+                        "need": pa.array(need[part], pa.int64()), "sig": pa.array([signature(sets[i]).tobytes() for i in part], pa.binary()),
                         "keys": pa.array([keys[ends[i] : ends[i + 1]] for i in part], pa.list_(pa.int64())), "s": pa.array([sets[i].tobytes() for i in part], pa.binary()),
                     })
 
@@ -313,11 +336,11 @@ class Join:
                 first += kept.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *kept.columns], names=["id", *kept.schema.names])
 
-        kinds = "node binary, n long, sig binary, keys array<long>, s binary"
+        kinds = "node binary, n long, need long, sig binary, keys array<long>, s binary"
         return self.texts.mapInArrow(run, kinds).repartition("node").mapInArrow(once, f"id long, {kinds}")
 
     def _read(self) -> None:
-        """info: the different sets that share a key. lists: key, id, least, c of their lists, each different list once."""
+        """info: the different sets that share keys. groups: key, id, c of the members of all lists with one first member."""
         keys = self.work.keep(self.shared_keys(), "keys")
         n = keys.count()
         bits = min(FILTER_BITS, max(1 << 16, 1 << (ROOM * n - 1).bit_length()))
@@ -327,14 +350,19 @@ class Join:
         words = np.zeros(bits // 64, np.uint64)
         words[set_bits.column("w").to_numpy()] = set_bits.column("x").to_numpy().view(np.uint64)
         self.info = self.work.keep(self.listed(bits, words), "sets")
-        lists = self.info.select("id", F.explode("keys").alias("key")).join(keys, "key")
-        self.lists = self.distinct_lists(self.work.keep(lists, "entries"))
-
-    def distinct_lists(self, lists: DataFrame) -> DataFrame:
-        """key, id, least, c: lists of two members at least; of those with the same members one."""
-        size = lists.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("x")).where("c > 1")
-        size = size.groupBy("c", "least", "x").agg(F.min("key").alias("key")).select("key", "c", "least")
-        return self.work.keep(lists.join(size, "key"), "lists")
+        entries = self.work.keep(self.info.select("id", "need", F.explode("keys").alias("key")).join(keys, "key"), "entries")
+        for _ in range(2):  # sets that are left with too few keys go, and the keys that are then left with one set
+            shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+            entries = entries.join(shared, "key")
+            enough = entries.groupBy("id").agg(F.count("*").alias("c"), F.min("need").alias("least")).where("c >= least").select("id")
+            entries = self.work.keep(entries.join(enough, "id"), "entries")
+        self.groups = self.grouped(entries)
+
+    def grouped(self, lists: DataFrame) -> DataFrame:
+        """key (a list's first member), id, c (members): lists of several members, those with one first member together."""
+        first = lists.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("least")).where("c > 1").select("key", "least")
+        groups = self.work.keep(lists.join(first, "key").select(F.col("least").alias("key"), "id").distinct(), "members")
+        return self.work.keep(groups.join(groups.groupBy("key").agg(F.count("*").alias("c")), "key"), "groups")
 
     def checked(self, pairs: DataFrame, signed: bool = False) -> DataFrame:
         """The pairs (a, b) that link; signed: their signatures have been compared."""
@@ -369,27 +397,27 @@ class Join:
             pairs = self.work.keep(kept(pairs, "sig", close), "close")
         return self.work.keep(kept(pairs, "s", linked), "links")
 
-    def split(self, lists: DataFrame, salt: int) -> DataFrame:
-        """key, id: lists cut by the parts of another hash, on which linked members agree too."""
-        percent, ends = self.percent, self.ends
+    def split(self, groups: DataFrame, salt: int) -> DataFrame:
+        """key, id: lists of members of a group with the same part by another hash; linked ones meet on one."""
+        percent, classes = self.percent, self.classes
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    keys, of = part_keys([np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()], ends, percent, salt)
+                    keys, of = part_keys([np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()], classes, percent, salt)
                     old = batch.column(0).to_numpy().view(np.uint64)[of]
                     yield pa.RecordBatch.from_arrays([pa.array(mix64(old * _SALT[1] + keys).view(np.int64)), batch.column(1).take(pa.array(of))], names=["key", "id"])
 
-        return lists.select("key", "id").join(self.info.select("id", "s"), "id").select("key", "id", "s").mapInArrow(run, "key long, id long")
+        return groups.select("key", "id").join(self.info.select("id", "s"), "id").select("key", "id", "s").mapInArrow(run, "key long, id long")
 
-    def compared(self, lists: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members of one list with different roots, whose signatures are close enough; each once, from the
-        first list that both are on. lists: key, id, root, c."""
+    def compared(self, groups: DataFrame) -> DataFrame:
+        """Pairs (a, b) of members of a group with different roots, whose signatures are close enough; each once, from the
+        first group that both are in. groups: key, id, root, c."""
         percent = self.percent
         blocks = F.ceil(F.col("c") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int")
-        on = lists.groupBy("id").agg(F.collect_list("key").alias("keys"))
-        signed = lists.join(self.info.select("id", "n", "sig").join(on, "id"), "id").withColumn("blocks", blocks).withColumn("own", own)
+        on = groups.groupBy("id").agg(F.collect_list("key").alias("keys"))
+        signed = groups.join(self.info.select("id", "n", "sig").join(on, "id"), "id").withColumn("blocks", blocks).withColumn("own", own)
         sent = signed.select("key", "id", "root", "n", "sig", "own", "keys", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         pair = sent.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "root", "n", "sig", "own", "keys")
 
@@ -429,30 +457,27 @@ class Join:
         ordered = pair.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
         return ordered.mapInArrow(scan, "a long, b long")
 
-    def contested(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """key, id, root, c of the lists in several components."""
-        placed = lists.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
+    def contested(self, groups: DataFrame, roots: DataFrame) -> DataFrame:
+        """key, id, root, c of the groups in several components."""
+        placed = groups.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("root"))
         apart = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
         return self.work.keep(placed.join(apart, "key"), "contested")
 
-    def cut_to_size(self, lists: DataFrame) -> DataFrame:
-        """The contested lists, the larger ones cut by another hash."""
-        large = lists.where(F.col("c") > SPLIT)
+    def cut_to_size(self, groups: DataFrame) -> DataFrame:
+        """The groups, the larger ones cut by another hash."""
+        large = groups.where(F.col("c") > SPLIT)
         if large.isEmpty():
-            return lists
-        finer = self.distinct_lists(self.work.keep(self.split(large, 1), "finer"))
+            return groups
+        finer = self.grouped(self.work.keep(self.split(large, 1), "finer"))
         finer = finer.join(large.select("id", "root").distinct(), "id").select("key", "id", "root", "c")
-        return self.work.keep(lists.where(F.col("c") <= SPLIT).select("key", "id", "root", "c").unionAll(finer), "cut")
-
-    def first_pairs(self) -> DataFrame:
-        return self.work.keep(self.lists.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct(), "tried")
+        return self.work.keep(groups.where(F.col("c") <= SPLIT).select("key", "id", "root", "c").unionAll(finer), "cut")
 
     def roots(self) -> DataFrame:
         """node, root: names of the sets that link, and of their components."""
-        tried = self.first_pairs()
+        tried = self.groups.where("id <> key").select(F.col("key").alias("a"), F.col("id").alias("b"))
         links = self.checked(tried)
         roots = self.work.keep(components(links, self.work), "roots")
-        left = self.contested(self.lists.where("c > 2"), roots)  # of two members both have been compared
+        left = self.contested(self.groups.where("c > 2"), roots)  # of two members both have been compared
         if not left.isEmpty():
             more = self.work.keep(self.compared(self.cut_to_size(left)).join(tried, ["a", "b"], "left_anti"), "more")
             found = self.checked(more, signed=True)
@@ -464,8 +489,8 @@ class Join:
 
     def links(self) -> DataFrame:
         """a, b: names of the two sets of every link."""
-        lists = self.cut_to_size(self.lists.select("key", "id", F.col("id").alias("root"), "c"))
-        links = self.checked(self.work.keep(self.compared(lists), "pairs"), signed=True)
+        groups = self.cut_to_size(self.groups.select("key", "id", F.col("id").alias("root"), "c"))
+        links = self.checked(self.work.keep(self.compared(groups), "pairs"), signed=True)
         one, two = (self.info.select(F.col("id").alias(e), F.col("node").alias(f"n{e}")) for e in "ab")
         return links.join(one, "a").join(two, "b").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
 

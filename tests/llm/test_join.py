@@ -79,19 +79,26 @@ def test_query_equals_brute_force(spark):
     assert sorted(tuple(r) for r in jaccard.op5_jaccard(spark, SF).collect()) == brute(rows, 3, 90)
 
 
-def test_linked_sets_share_a_key():
+def test_linked_sets_share_as_many_keys_as_needed():
     rng = np.random.default_rng(8)
     for percent in (80, 90):
-        ends = jaccard.size_classes(percent, 3000)
-        for n in [*range(1, 60), 75, 76, 100, 333, 1000]:
-            a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        classes = jaccard.size_classes(percent, 3000)
+        for n in [*range(1, 60), 75, 76, 100, 101, 160, 333, 1000, 3000]:
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
             gone = n - -(-percent * n // 100)  # as many as a subset that links can lack
-            fewer, both = np.unique(a[gone:]), np.unique(a)
-            for light in (0, 12):
-                keys, of = jaccard.list_keys([both, fewer], light, ends, percent)
-                assert len(both) == len(fewer) or set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
-            keys, of = jaccard.part_keys([both, fewer], ends, percent, 2)
-            assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
+            least = jaccard.shared_least(n, n, percent)
+            other = np.unique(np.concatenate((a[:least], rng.integers(0, 1 << 63, n - least).astype(np.uint64))))
+            for b in (a[gone:], other):
+                if not len(b) or len(b) == n and (a == b).all():
+                    continue
+                for light in (0, 12):
+                    keys, of = jaccard.list_keys([a, b], light, classes, percent)
+                    shared = len(set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()))
+                    assert shared >= 1
+                    if n > light:
+                        assert shared >= jaccard.needed([a, b], light, classes, percent).max()
+                keys, of = jaccard.part_keys([a, b], classes, percent, 2)
+                assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist())
 
 
 def test_input_columns_may_clash(spark):
