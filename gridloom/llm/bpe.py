@@ -28,7 +28,6 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridloom.llm.common import PIECE_BYTES, tune
 from gridloom.llm.words import WordCodes, byte_level, pieces
@@ -267,15 +266,25 @@ def decode_ids(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded
     return docs.withColumn(out, decode(F.col(ids)))
 
 
-@F.arrow_udf(T.StringType())
-def ids_sha256(ids: pa.Array) -> pa.Array:
-    return pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in id_rows(ids)], pa.string())
+def ids_sha256(ids: np.ndarray) -> str:
+    return hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest()
 
 
 def tokenized(docs: DataFrame, path: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns of keep of documents, through encode_texts and decode_ids."""
-    both = decode_ids(encode_texts(docs.select("doc_id", "text", *keep), path), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids_sha256("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *keep)
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the columns of keep of documents. One worker of a task encodes and
+    decodes, as encode_texts and decode_ids do one by one."""
+    tune(docs.sparkSession)
+    rows = docs.select("doc_id", "text", *keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = byte_bpe(path)
+        for batch in batches:
+            ids = list(bpe.encode_all([t or "" for t in batch.column(1).to_pylist()]))
+            found = [pa.array([len(x) for x in ids], pa.int64()), pa.array([ids_sha256(x) for x in ids], pa.string()), pa.array([hashlib.sha256(bpe.decode(x.tolist()).encode()).hexdigest() for x in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found, *batch.columns[2:]], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *keep])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", `{c}` {kinds[c]}" for c in keep))
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
