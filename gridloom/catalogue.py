@@ -10,34 +10,36 @@ from gridloom.operators import graph as G
 from gridloom.operators import language as L
 from gridloom.operators import merges as M
 from gridloom.operators import segment as S
-from gridloom.sources import all_regions, delimited, merge_regions, sparse_grid, whole_grid
+from gridloom.operators import visible as V
+from gridloom.plans import documents as D
+from gridloom.sources import all_regions, delimited, whole_grid
 
 
 def seg_row_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bands = S.row_bands(sparse_grid(spark, sf_dir))
+    bands = S.row_bands(whole_grid(spark, sf_dir))
     return bands.groupBy("sheet_id", "band").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("n_rows"))
 
 
 def seg_column_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = sparse_grid(spark, sf_dir)
+    cells = whole_grid(spark, sf_dir)
     stripes = S.column_stripes(cells.join(S.row_bands(cells), ["sheet_id", "r"]))
     return stripes.groupBy("sheet_id", "band", "stripe").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
 
 
 def seg_three_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.three_level(sparse_grid(spark, sf_dir))
+    return S.three_level(whole_grid(spark, sf_dir))
 
 
 def ord_deferred(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.deferred_order(S.three_level(sparse_grid(spark, sf_dir))).select("sheet_id", "seg_ord", "deferred", "out_ord")
+    return S.deferred_order(S.three_level(whole_grid(spark, sf_dir))).select("sheet_id", "seg_ord", "deferred", "out_ord")
 
 
 def seg_isolated_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.isolated_cells(sparse_grid(spark, sf_dir))
+    return S.isolated_cells(whole_grid(spark, sf_dir))
 
 
 def hdr_single_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.header_row(sparse_grid(spark, sf_dir))
+    return S.header_row(whole_grid(spark, sf_dir))
 
 
 def fn_column_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,27 +57,27 @@ def cls_title_like(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seg_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_segments(sparse_grid(spark, sf_dir))
+    return G.graph_segments(whole_grid(spark, sf_dir))
 
 
 def seg_graph_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.graph_segments(sparse_grid(spark, sf_dir), None)
+    return G.graph_segments(whole_grid(spark, sf_dir), None)
 
 
 def grid_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.merged_grid(sparse_grid(spark, sf_dir), merge_regions(spark, sf_dir))
+    return M.merged_grid(whole_grid(spark, sf_dir), all_regions(spark, sf_dir))
 
 
 def seg_merge_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.clipped_merges(S.three_level(sparse_grid(spark, sf_dir)), merge_regions(spark, sf_dir))
+    return M.clipped_merges(S.three_level(whole_grid(spark, sf_dir)), all_regions(spark, sf_dir))
 
 
 def hdr_merge_aware(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.header_rows(grid_merged(spark, sf_dir), merge_regions(spark, sf_dir))
+    return M.header_rows(grid_merged(spark, sf_dir), all_regions(spark, sf_dir))
 
 
 def fn_range_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = merge_regions(spark, sf_dir)
+    m = all_regions(spark, sf_dir)
     return m.select("sheet_id", "ord", C.range_ref(*[F.col(c) for c in ("r0", "c0", "r1", "c1")]).alias("region"))
 
 
@@ -107,40 +109,79 @@ def src_delimited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_orderkey", *[F.col("f")[i].alias(n) for i, n in enumerate(("line", "status", "flag"))])
 
 
-def _whole() -> dict:
-    """The operators on all line items and all orders: sparse_grid and merge_regions take a part of them."""
-    of_cells = {
-        "seg_row_bands": lambda x: S.row_bands(x).groupBy("sheet_id", "band").agg(F.min("r").alias("r0"), F.max("r").alias("r1"), F.count("*").alias("n_rows")),
-        "seg_column_stripes": lambda x: S.column_stripes(x.join(S.row_bands(x), ["sheet_id", "r"])).groupBy("sheet_id", "band", "stripe").agg(F.min("c").alias("c0"), F.max("c").alias("c1")),
-        "seg_three_level": S.three_level,
-        "seg_graph": G.graph_segments,
-        "seg_graph_apart": lambda x: G.graph_segments(x, None),
-        "ord_deferred": lambda x: S.deferred_order(S.three_level(x)).select("sheet_id", "seg_ord", "deferred", "out_ord"),
-        "seg_isolated_cells": S.isolated_cells,
-        "hdr_single_row": S.header_row,
-    }
-    of_both = {
-        "grid_merged": M.merged_grid,
-        "seg_merge_clip": lambda x, m: M.clipped_merges(S.three_level(x), m),
-        "hdr_merge_aware": lambda x, m: M.header_rows(M.merged_grid(x, m), m),
-        "fn_range_ref": lambda _, m: m.select("sheet_id", "ord", C.range_ref(*[F.col(c) for c in ("r0", "c0", "r1", "c1")]).alias("region")),
-    }
-    out = {f"{k}_whole": lambda spark, sf_dir, f=f: f(whole_grid(spark, sf_dir)) for k, f in of_cells.items()}
-    return out | {f"{k}_whole": lambda spark, sf_dir, f=f: f(whole_grid(spark, sf_dir), all_regions(spark, sf_dir)) for k, f in of_both.items()}
+def _hidden(spark: SparkSession, sf_dir: str, places: str) -> DataFrame:
+    """Hidden places of all sheets, by a rule on their numbers."""
+    sheets = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.expr("o_orderkey div 100").alias("sheet_id")).distinct()
+    return sheets.select("sheet_id", F.explode(F.expr(places)).alias("at"))
+
+
+_HIDDEN_ROWS = "filter(sequence(0L, 199L), x -> x % 7 = 3 OR x % 50 BETWEEN 20 AND 22)"
+_HIDDEN_COLUMNS = "filter(sequence(0L, 19L), x -> x % 5 = 2)"
+
+
+def grid_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.visible_cells(whole_grid(spark, sf_dir), _hidden(spark, sf_dir, _HIDDEN_ROWS), _hidden(spark, sf_dir, _HIDDEN_COLUMNS))
+
+
+def grid_visible_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.visible_merges(all_regions(spark, sf_dir), _hidden(spark, sf_dir, _HIDDEN_ROWS), _hidden(spark, sf_dir, _HIDDEN_COLUMNS))
+
+
+def post_merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.merge_summary(all_regions(spark, sf_dir))
+
+
+def fn_number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    balance = F.when(F.col("c_custkey") % 3 == 0, F.floor("c_acctbal").cast("double")).otherwise(F.col("c_acctbal"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", C.number_text(balance).alias("v"))
+
+
+_FORMATS = ("yyyy-mm-dd", "[Red]0.00", "[$-409]d mmm yy", "h:mm AM/PM", "General", '0" pcs"', "[DBNum1]yyyy", "#,##0")
+
+
+def fn_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fmt = F.concat(F.element_at(F.array(*map(F.lit, _FORMATS)), (F.col("p_partkey") % len(_FORMATS) + 1).cast("int")), F.lit(" "), F.col("p_name"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", C.date_pattern(fmt).alias("pattern"), C.date_like_format(fmt).alias("date_like"), C.unprocessed_date(fmt).alias("unprocessed"))
+
+
+def fn_csv_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.col("p_name"), F.element_at(F.array(*map(F.lit, (".csv", ".TSV", ".xlsx", "", ".csv.gz"))), (F.col("p_partkey") % 5 + 1).cast("int")))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", C.is_csv_name(name).alias("delimited"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merges = all_regions(spark, sf_dir)
+    return D.sheet_documents(M.merged_grid(whole_grid(spark, sf_dir), merges), merges)
+
+
+def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("sheet_id", D.rendered(F.col("document"), assist=True).alias("json"))
+
+
+def doc_row_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("sheet_id", D.rendered(F.col("document"), layout="row_object").alias("json"))
+
+
+def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("sheet_id", D.rendered(F.col("document"), "markdown").alias("markdown"))
 
 
 def queries() -> dict:
     own = (
         seg_row_bands, seg_column_stripes, seg_three_level, seg_graph, seg_graph_apart, seg_merge_clip, ord_deferred, seg_isolated_cells, grid_merged,
         hdr_single_row, hdr_merge_aware, fn_column_letters, fn_range_ref, fn_markdown_escape, fn_sanitize, fn_cjk_number, fn_sniff_delimiter,
-        cls_title_like, lang_documents, src_delimited,
+        cls_title_like, lang_documents, src_delimited, grid_visible, grid_visible_merges, post_merge_summary, fn_number_text, fn_date_formats, fn_csv_name,
+        doc_json, doc_row_objects, doc_markdown,
     )
-    return {f.__name__: f for f in own} | _whole()
+    return {f.__name__: f for f in own}
 
 
-_CELLS = """
-cells AS (SELECT l_orderkey // 100 AS sheet_id, l_orderkey % 100 AS r, CAST(l_linenumber - 1 AS BIGINT) AS c, CAST(CAST(min(l_quantity) AS INT) AS VARCHAR) AS v
-  FROM lineitem WHERE l_quantity <= 15 GROUP BY 1, 2, 3)"""
+_ROW = "({0} % 100 + {0} % 100 // 3 + {0} % 100 // 5)"
+_CELLS = f"""
+cells AS (SELECT l_orderkey // 100 AS sheet_id, {_ROW.format('l_orderkey')} AS r, i + i // 3 AS c, v FROM (
+  SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS i, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS v FROM lineitem))"""
+_OFF = """
+hr AS (SELECT x FROM range(0, 200) t(x) WHERE x % 7 = 3 OR x % 50 BETWEEN 20 AND 22), hc AS (SELECT x FROM range(0, 20) t(x) WHERE x % 5 = 2)"""
 _BANDS = _CELLS + """,
 rws AS (SELECT DISTINCT sheet_id, r FROM cells),
 marked AS (SELECT *, r - coalesce(lag(r) OVER (PARTITION BY sheet_id ORDER BY r), r) > 2 AS cut FROM rws),
@@ -165,9 +206,9 @@ segs AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY band, strip
   FROM boxes s JOIN wide USING (sheet_id, band, stripe) JOIN edge USING (sheet_id, band) JOIN counts USING (sheet_id, band, stripe, part)),
 final AS (SELECT sheet_id, CAST(seg_ord AS INT) AS seg_ord, r0, r1, c0, c1, n_cells, CASE WHEN lead AND own = 0 THEN between_ ELSE own END AS gap FROM segs)"""
 
-_MERGES = """
-merges AS (SELECT o_orderkey // 100 AS sheet_id, o_orderkey AS ord, o_orderkey % 100 AS r0, least(o_orderkey % 100 + o_custkey % 3, 99) AS r1,
-  CAST(0 AS BIGINT) AS c0, o_custkey % 5 AS c1 FROM orders WHERE o_orderkey % 7 = 0)"""
+_MERGES = f"""
+merges AS (SELECT sheet_id, ord, r0, CASE WHEN o_custkey % 2 = 1 AND ((ord % 100 + 1) % 3 = 0 OR (ord % 100 + 1) % 5 = 0) THEN r0 + 1 ELSE r0 END AS r1, o_custkey % 3 AS c0, o_custkey % 3 + o_custkey % 5 AS c1
+  FROM (SELECT o_orderkey // 100 AS sheet_id, o_orderkey AS ord, {_ROW.format('o_orderkey')} AS r0, o_custkey FROM orders))"""
 _GRID = f"""{_CELLS}, {_MERGES},
 spans AS (SELECT *, unnest(range(r0, r1 + 1)) AS r FROM merges), covered AS (SELECT *, unnest(range(c0, c1 + 1)) AS c FROM spans),
 marks AS (SELECT sheet_id, r, c, CASE WHEN r <> r0 THEN '^' ELSE '' END || CASE WHEN c <> c0 THEN '<' ELSE '' END AS marker FROM covered),
@@ -226,7 +267,7 @@ FROM final f JOIN merges m ON f.sheet_id = m.sheet_id AND m.r0 <= f.r1 AND m.r1
         "hdr_merge_aware": f"""WITH {_GRID}, plain AS (SELECT * FROM grid WHERE v NOT IN ('<', '^', '^<')),
 wide AS (SELECT sheet_id, max(c) + 1 AS cols, max(r) AS last FROM grid GROUP BY ALL),
 lines AS (SELECT sheet_id, r, count(*) AS n, count(DISTINCT v) AS kinds, min(v) AS v FROM plain GROUP BY ALL),
-judged AS (SELECT *, lead(n) OVER (PARTITION BY sheet_id ORDER BY r) AS next, kinds = 1 AND cols >= 4 AND (length(v) >= 40 OR EXISTS (SELECT 1 FROM merges m
+judged AS (SELECT *, lead(n) OVER (PARTITION BY sheet_id ORDER BY r) AS next, kinds = 1 AND cols >= 4 AND (length(v) >= 40 OR contains(v, chr(10)) OR EXISTS (SELECT 1 FROM merges m
   WHERE m.sheet_id = l.sheet_id AND m.r0 = l.r AND m.r1 = l.r AND m.c0 = 0 AND m.c1 + 1 >= greatest(4, cols // 2))) AS banner FROM lines l JOIN wide USING (sheet_id)),
 start AS (SELECT sheet_id, min(r) AS header_start, any_value(last) AS last FROM judged WHERE NOT (banner AND coalesce(next >= greatest(3, n + 2), false)) GROUP BY ALL)
 SELECT sheet_id, header_start, (SELECT count(DISTINCT x) FROM (SELECT s.header_start AS x UNION ALL
@@ -242,10 +283,22 @@ SELECT doc_id, CASE WHEN h >= 0.01 AND h >= k THEN 'KO' WHEN k >= 0.01 THEN 'JA'
         "fn_sniff_delimiter": r"""WITH l AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\r\n|\n|\r'), lambda x: regexp_matches(x, '[^\s\p{Z}]'))[1:10] AS ls FROM documents),
 m AS (SELECT doc_id, d, p, list_transform(ls, lambda x: length(x) - length(replace(x, d, ''))) AS n FROM l, (VALUES (',', 1), (chr(9), 2), (';', 3), ('|', 4)) AS t(d, p))
 SELECT doc_id, coalesce(min_by(d, p - 10 * n[1]) FILTER (WHERE n[1] > 0 AND list_min(n) = list_max(n)), ',') AS delimiter FROM m GROUP BY doc_id""",
+        "grid_visible": f"""WITH {_CELLS}, {_OFF} SELECT sheet_id, r - (SELECT count(*) FROM hr WHERE x < r) AS r, c - (SELECT count(*) FROM hc WHERE x < c) AS c, v FROM cells
+WHERE r NOT IN (SELECT x FROM hr) AND c NOT IN (SELECT x FROM hc)""",
+        "grid_visible_merges": f"""WITH {_MERGES}, {_OFF}, p AS (SELECT sheet_id, ord, r0 - (SELECT count(*) FROM hr WHERE x < r0) AS r0, r1 - (SELECT count(*) FROM hr WHERE x <= r1) AS r1,
+  c0 - (SELECT count(*) FROM hc WHERE x < c0) AS c0, c1 - (SELECT count(*) FROM hc WHERE x <= c1) AS c1 FROM merges) SELECT * FROM p WHERE r0 <= r1 AND c0 <= c1""",
+        "post_merge_summary": f"WITH {_MERGES} SELECT sheet_id, ord, chr(CAST(65 + c0 AS INT)) || (r0 + 1) AS cell, r1 - r0 + 1 AS row_span, c1 - c0 + 1 AS col_span FROM merges",
+        "fn_number_text": """SELECT c_custkey, CASE WHEN x = floor(x) THEN CAST(CAST(x AS BIGINT) AS VARCHAR) ELSE CAST(x AS VARCHAR) END AS v
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN floor(c_acctbal) ELSE c_acctbal END AS x FROM customer)""",
+        "fn_date_formats": f"""WITH f AS (SELECT p_partkey, list_extract({list(_FORMATS)}, CAST(p_partkey % {len(_FORMATS)} + 1 AS INT)) || ' ' || p_name AS x FROM part),
+b AS (SELECT *, trim(regexp_replace(x, '\\[(\\$[^\\]]*|color\\s*[0-9]+|black|blue|cyan|green|magenta|red|white|yellow|dbnum[0-9]*)\\]', '', 'gi')) AS y FROM f)
+SELECT p_partkey, trim(replace(regexp_replace(replace(replace(y, 'm', 'M'), 'h', 'H'), 'am/pm', 'a', 'gi'), '"', '')) AS pattern,
+  regexp_matches(lower(x), 'y{{2}}|[mdhs]') AS date_like, regexp_matches(lower(x), 'y{{2}}|m{{2}}|d{{2}}|h{{2}}|s{{2}}') AS unprocessed FROM b""",
+        "fn_csv_name": "SELECT p_partkey, p_partkey % 5 IN (0, 1) AS delimited FROM part",
         "src_delimited": "SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS line, l_linestatus AS status, l_returnflag AS flag FROM lineitem",
         "fn_markdown_escape": """SELECT doc_id, CASE WHEN text IN ('<', '^', '<^', '^<') THEN ''
   ELSE regexp_replace(replace(coalesce(text, ''), '|', '\\|'), chr(13) || chr(10) || '|' || chr(10) || '|' || chr(13), '<br>', 'g') END AS cell FROM documents""",
-        "cls_title_like": """WITH l AS (SELECT doc_id, trim(v, ' ') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL))
+        "cls_title_like": """WITH l AS (SELECT doc_id, regexp_replace(v, '^[\\p{Z}\\t-\\r\\x1C-\\x1F]+|[\\p{Z}\\t-\\r\\x1C-\\x1F]+$', '', 'g') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents WHERE text IS NOT NULL))
 SELECT doc_id, CAST(sum(CAST(regexp_matches(t, '^[■◾▪•·-]') OR regexp_matches(regexp_replace(t, '\\s+', '', 'g'), '^(19|20)[0-9]{2}(년|$)') OR starts_with(t, '년') OR starts_with(t, '~')
   OR (contains(t, '패널') AND length(t) <= 15) AS INT)) AS BIGINT) AS titles, count(*) AS lines FROM l GROUP BY doc_id""",
     }

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Bullets that mark a title, and the markers of covered cells.
 BULLETS = "■◾▪•·-"
 MARKERS = ("<", "^", "^<")
+# Marks of years and of panels in titles, and characters and placeholders that are never shown.
+YEARS, YEAR_MARKS, PANEL, PANEL_LENGTH = "^(19|20)[0-9]{2}(년|$)", ("년", "~"), "패널", 15
+HIDDEN, RESERVED = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\u200B\\u200C\\u200D\\u2060\\uFEFF\\u00AD]", r"(?i)reserved-\d+x[0-9a-f]+"
 # Numerals, units within and of groups of four digits, the minus sign, and delimiters by precedence.
 CJK_DIGITS = "零一二三四五六七八九"
 CJK_UNITS = ("", "十", "百", "千")
@@ -20,8 +23,13 @@ def not_blank(v: Column) -> Column:
     return F.coalesce(F.regexp_replace(v, r"[\s\p{Z}]+", "") != "", F.lit(False))
 
 
+def trimmed(v: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(v, r"^[\p{Z}\t-\r\x1C-\x1F]+|[\p{Z}\t-\r\x1C-\x1F]+$", "")
+
+
 def meaningful(v: Column) -> Column:
-    return not_blank(v) & ~F.trim(v).isin(*MARKERS)
+    return not_blank(v) & ~v.isin(*MARKERS)
 
 
 def column_letters(c: Column) -> Column:
@@ -38,14 +46,14 @@ def column_letters(c: Column) -> Column:
 
 def title_like(v: Column) -> Column:
     """A bullet, a bare year, a leading year mark or range sign, or a short panel name."""
-    t = F.trim(v)
+    t = trimmed(v)
     bare = F.regexp_replace(t, r"\s+", "")
     return F.coalesce(
         F.instr(F.lit(BULLETS), F.substring(t, 1, 1)).between(1, len(BULLETS)) & (t != "")
-        | bare.rlike("^(19|20)[0-9]{2}(년|$)")
-        | t.startswith("년")
-        | t.startswith("~")
-        | (t.contains("패널") & (F.length(t) <= 15)),
+        | bare.rlike(YEARS)
+        | t.startswith(YEAR_MARKS[0])
+        | t.startswith(YEAR_MARKS[1])
+        | (t.contains(PANEL) & (F.length(t) <= PANEL_LENGTH)),
         F.lit(False),
     )
 
@@ -58,8 +66,8 @@ def markdown_escape(v: Column) -> Column:
 
 def sanitize(v: Column) -> Column:
     """Without control and zero-width characters and reserved placeholders, trimmed of white space. Null stays null."""
-    shown = F.regexp_replace(v, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F\\u200B\\u200C\\u200D\\u2060\\uFEFF\\u00AD]", "")
-    return F.regexp_replace(F.regexp_replace(shown, r"(?i)reserved-\d+x[0-9a-f]+", ""), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    shown = F.regexp_replace(F.regexp_replace(v, HIDDEN, ""), RESERVED, "")
+    return F.regexp_replace(shown, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
 def cjk_digits(v: Column) -> Column:
@@ -87,13 +95,28 @@ def cjk_number(n: Column) -> Column:
 
 
 def date_like_format(fmt: Column) -> Column:
+    """Whether a number format has a letter of dates or times. Null has none."""
     return F.coalesce(fmt.rlike("(?i)(yy|m|d|h|s)"), F.lit(False))
 
 
 def unprocessed_date(v: Column) -> Column:
+    """Whether a text still has date tokens. Null has none."""
     return F.coalesce(v.rlike("(?i)yy|mm|dd|hh|ss"), F.lit(False))
 
 
+def date_pattern(fmt: Column) -> Column:
+    """The pattern that a date is written by: every m is a month, every h an hour of the day; conditions and quotes go."""
+    bare = F.regexp_replace(fmt, r"(?i)\[\$[^\]]*\]|\[color\s*\d+\]|\[(black|blue|cyan|green|magenta|red|white|yellow)\]|\[dbnum\d*\]", "")
+    letters = F.translate(trimmed(bare), "mh", "MH")
+    return trimmed(F.replace(F.regexp_replace(letters, "(?i)am/pm", "a"), F.lit('"'), F.lit("")))
+
+
+def number_text(x: Column) -> Column:
+    """A whole number without a point, else the double's own text. Null stays null."""
+    whole = (F.abs(x) < float(1 << 63)) & (x == F.floor(x))
+    return F.when(whole, F.floor(x).cast("long").cast("string")).otherwise(x.cast("string"))
+
+
 def is_csv_name(name: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).isin("csv", "tsv"), F.lit(False))
 

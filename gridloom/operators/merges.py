@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import meaningful
+from gridloom.functions import cell_ref, meaningful, not_blank
 
 
 def merged_grid(cells: DataFrame, merges: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def merged_grid(cells: DataFrame, merges: DataFrame) -> DataFrame:
     covered = spans.groupBy("sheet_id", "r", "c").agg(F.max_by(marker, "ord").alias("marker"))
     both = cells.join(covered, ["sheet_id", "r", "c"], "full")
     value = F.when(F.coalesce("marker", F.lit("")) != "", F.col("marker")).otherwise(F.col("v"))
-    return both.select("sheet_id", "r", "c", value.alias("v")).where("v IS NOT NULL")
+    return both.select("sheet_id", "r", "c", value.alias("v")).where(not_blank(F.col("v")))
 
 
 def clipped_merges(segments: DataFrame, merges: DataFrame) -> DataFrame:
@@ -54,3 +54,8 @@ def header_rows(grid: DataFrame, merges: DataFrame) -> DataFrame:
     own = start.select("sheet_id", F.col("header_start").alias("r"))
     counts = own.unionByName(added).groupBy("sheet_id").agg(F.count_distinct("r").alias("header_rows"))
     return start.select("sheet_id", "header_start").join(counts, "sheet_id")
+
+
+def merge_summary(merges: DataFrame) -> DataFrame:
+    """sheet_id, ord, cell, row_span, col_span of each region."""
+    return merges.select("sheet_id", "ord", cell_ref(F.col("r0"), F.col("c0")).alias("cell"), (F.col("r1") - F.col("r0") + 1).alias("row_span"), (F.col("c1") - F.col("c0") + 1).alias("col_span"))

@@ -6,24 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def sparse_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cells of sheets of 100 rows: an order is a row, a line item of at most 15 pieces a cell."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity <= 15")
-    return items.groupBy(
-        F.expr("l_orderkey div 100").alias("sheet_id"), (F.col("l_orderkey") % 100).alias("r"), (F.col("l_linenumber") - 1).cast("long").alias("c")
-    ).agg(F.min("l_quantity").cast("int").cast("string").alias("v"))
-
-
-def merge_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """merges of those sheets: each seventh order is a region of up to three rows and five columns."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 7 = 0")
-    r = F.col("o_orderkey") % 100
-    return orders.select(
-        F.expr("o_orderkey div 100").alias("sheet_id"), F.col("o_orderkey").alias("ord"), r.alias("r0"), F.least(r + F.col("o_custkey") % 3, F.lit(99)).alias("r1"),
-        F.lit(0).cast("long").alias("c0"), (F.col("o_custkey") % 5).alias("c1"),
-    )
-
-
 def _place(key: str) -> tuple[Column, Column]:
     """Sheet and row of an order: blank rows lie behind every third and every fifth order of a sheet, two behind each 15th."""
     i = F.col(key) % 100

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import sniff_delimiter
+from gridloom.functions import DELIMITERS, sniff_delimiter
 from gridloom.shipping import ship
 
 ROWS = "array<array<string>>"
@@ -28,9 +28,10 @@ def parse_rows(text: str, delimiter: str) -> list[list[str]]:
     parts: list[str] = []
     at, end = 0, len(text)
 
-    def close_row() -> None:
+    def close_row(line_end: bool) -> None:
         nonlocal row
-        row.append("".join(parts))
+        field = "".join(parts)
+        row.append(field.removesuffix("\r") if line_end else field)  # of a quoted field; others hold none
         parts.clear()
         if any(row):
             rows.append(row)
@@ -56,14 +57,22 @@ def parse_rows(text: str, delimiter: str) -> list[list[str]]:
             row.append("".join(parts))
             parts.clear()
         elif c == "\n":
-            close_row()
+            close_row(True)
         elif c != "\r":
             parts.append(c)
     if row or any(parts):
-        close_row()
+        close_row(False)
     return rows
 
 
+def sniffed(text: str) -> str:
+    """The delimiter that functions.sniff_delimiter finds."""
+    lines = [x for x in re.split("\r\n|\n|\r", text) if x.strip()][:10]
+    counts = {mark: [x.count(mark) for x in lines] for mark in DELIMITERS}
+    even = {mark: n[0] for mark, n in counts.items() if n and min(n) == max(n) and n[0]}
+    return max(even, key=even.__getitem__, default=DELIMITERS[0])
+
+
 def delimited_rows(texts: DataFrame, text: str = "text", delimiter: str | None = None, out: str = "rows") -> DataFrame:
     """texts with the rows of fields of every text; the delimiter is sniffed unless given. Null has no rows."""
     ship(texts.sparkSession)

@@ -41,7 +41,7 @@ def test_scalars(spark):
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "documents", "part", "orders", "pages"):
+    for t in ("lineitem", "documents", "part", "orders", "pages", "customer"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(catalogue.oracle_sql()[name])
     got = entry.queries()[name](spark, SF)
