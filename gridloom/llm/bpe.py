@@ -151,7 +151,7 @@ class ByteBpe:
         self.merged = np.zeros(len(pairs), np.int64)
         self.merged[[k for k, _ in self.merges.values()]] = [i for _, i in self.merges.values()]
         self.symbols = np.array(self.of_byte, np.int64)
-        self.words = WordCodes(byte_level, self.merge_all)
+        self.words = WordCodes(byte_level, self._merged)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 if it has none."""
@@ -202,6 +202,10 @@ class ByteBpe:
                 tree.put(h, rank(ids[h], ids[i]))
         return [x for x in ids if x >= 0]
 
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self.merge_all(words)
+        return np.concatenate([np.asarray(x, np.int64) for x in ids]), np.array([len(x) for x in ids], np.int64)
+
     def encode(self, text: str) -> list[int]:
         """Ids of one text, pre-token by pre-token."""
         out: list[int] = []

@@ -123,6 +123,8 @@ class LibraryCodes:
 
     #: Below it all code points are in NFC, and Python lowers each as the library does.
     PLAIN = 0x300
+    # Fixed value: the mark of a word's last id. And words of one text that the library reads.
+    WORD_END, JOINED = "</w>", 256
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -131,10 +133,30 @@ class LibraryCodes:
         self.library.no_truncation()
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = WordCodes(word_level, lambda words: [x.ids for x in self.library.encode_batch_fast(words, add_special_tokens=False)])
+        vocabulary = self.library.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
+        self.words = WordCodes(word_level, self.encode_words)
         self.whole: dict[str, list[int]] = {}
         self.beyond = re.compile(f"[{chr(self.PLAIN)}-{chr(0x10FFFF)}]")
 
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words one behind the other, and their number for each: of many words in one text, cut behind the ids
+        that end a word; if there are not as many, one by one."""
+        texts = [words[at : at + self.JOINED] for at in range(0, len(words), self.JOINED)]
+        flat, sizes = [], []
+        for some, found in zip(texts, self.library.encode_batch_fast([" ".join(x) for x in texts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                alone = [x.ids for x in self.library.encode_batch_fast(some, add_special_tokens=False)]
+                flat += [np.array(x, np.uint32) for x in alone]
+                sizes.append(np.array([len(x) for x in alone], np.int64))
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def plain(self, text: str) -> str:
         return text.lower() if text.isascii() or not self.beyond.search(text) else self.library.normalizer.normalize_str(text)
 

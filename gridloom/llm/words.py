@@ -97,9 +97,9 @@ def pieces(text: str, limit: int) -> list[str] | None:
 
 
 class WordCodes:
-    """Token ids of texts by their pre-tokens. encode: ids of each of some pre-tokens."""
+    """Token ids of texts by their pre-tokens. encode: ids of some pre-tokens one behind the other, and their number for each."""
 
-    def __init__(self, split: Callable, encode: Callable[[list[str]], list[Sequence[int]]]) -> None:
+    def __init__(self, split: Callable, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.split, self.encode = split, encode
         self.forget()
 
@@ -109,13 +109,12 @@ class WordCodes:
         self.flat = np.zeros(0, np.uint32)
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids = self.encode(words)
-        size = np.array([len(x) for x in ids], np.int64)
+        """hashes: ascending."""
+        flat, size = self.encode(words)
         at = len(self.flat) + np.cumsum(size) - size
-        self.flat = np.concatenate((self.flat, *(np.asarray(x, np.uint32) for x in ids)))
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known)
-        self.known, self.at, self.size = known[order], np.concatenate((self.at, at))[order], np.concatenate((self.size, size))[order]
+        self.flat = np.concatenate((self.flat, flat.astype(np.uint32)))
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.at, self.size = (np.insert(x, place, y) for x, y in ((self.known, hashes), (self.at, at), (self.size, size)))
 
     def ids(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one behind the other, and their number for each text. At most PIECE_BYTES code points with
