@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import functions as C
+from gridloom.operators import geometry as P
 from gridloom.operators import graph as G
 from gridloom.operators import language as L
 from gridloom.operators import merges as M
@@ -136,6 +137,20 @@ def fn_number_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", C.number_text(balance).alias("v"))
 
 
+def img_nearest_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shown row next to the row of each line item; rows with a line item of more than 30 pieces are hidden."""
+    cells = whole_grid(spark, sf_dir)
+    rows = cells.groupBy("sheet_id", "r").agg(F.max(F.col("v").cast("int")).alias("most"))
+    return P.nearest_shown(rows.select("sheet_id", F.col("r").alias("x")), rows.where("most <= 30").select("sheet_id", F.col("r").alias("at")))
+
+
+def img_located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row of a sheet that holds a point, rows being as high as their line items' pieces."""
+    sizes = whole_grid(spark, sf_dir).groupBy("sheet_id", F.col("r").alias("at")).agg(F.sum(F.col("v").cast("long")).alias("size"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return P.located(orders.select(F.expr("o_orderkey div 100").alias("sheet_id"), F.col("o_orderkey").alias("point"), (F.col("o_custkey") * 3 % 9000).alias("x")), sizes)
+
+
 _FORMATS = ("yyyy-mm-dd", "[Red]0.00", "[$-409]d mmm yy", "h:mm AM/PM", "General", '0" pcs"', "[DBNum1]yyyy", "#,##0")
 
 
@@ -171,6 +186,7 @@ def queries() -> dict:
         seg_row_bands, seg_column_stripes, seg_three_level, seg_graph, seg_graph_apart, seg_merge_clip, ord_deferred, seg_isolated_cells, grid_merged,
         hdr_single_row, hdr_merge_aware, fn_column_letters, fn_range_ref, fn_markdown_escape, fn_sanitize, fn_cjk_number, fn_sniff_delimiter,
         cls_title_like, lang_documents, src_delimited, grid_visible, grid_visible_merges, post_merge_summary, fn_number_text, fn_date_formats, fn_csv_name,
+        img_nearest_shown, img_located,
         doc_json, doc_row_objects, doc_markdown,
     )
     return {f.__name__: f for f in own}
@@ -294,6 +310,13 @@ FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN floor(c_acctbal) ELSE c
 b AS (SELECT *, trim(regexp_replace(x, '\\[(\\$[^\\]]*|color\\s*[0-9]+|black|blue|cyan|green|magenta|red|white|yellow|dbnum[0-9]*)\\]', '', 'gi')) AS y FROM f)
 SELECT p_partkey, trim(replace(regexp_replace(replace(replace(y, 'm', 'M'), 'h', 'H'), 'am/pm', 'a', 'gi'), '"', '')) AS pattern,
   regexp_matches(lower(x), 'y{{2}}|[mdhs]') AS date_like, regexp_matches(lower(x), 'y{{2}}|m{{2}}|d{{2}}|h{{2}}|s{{2}}') AS unprocessed FROM b""",
+        "img_nearest_shown": f"""WITH {_CELLS}, y AS (SELECT sheet_id, r, max(CAST(v AS INT)) AS most FROM cells GROUP BY ALL),
+p AS (SELECT a.sheet_id, a.r AS x, b.r AS near, row_number() OVER (PARTITION BY a.sheet_id, a.r ORDER BY abs(a.r - b.r), b.r) AS n FROM y a LEFT JOIN y b ON a.sheet_id = b.sheet_id AND b.most <= 30)
+SELECT sheet_id, x, near FROM p WHERE n = 1""",
+        "img_located": f"""WITH {_CELLS}, z AS (SELECT sheet_id, r AS at_, CAST(sum(CAST(v AS BIGINT)) AS BIGINT) AS size FROM cells GROUP BY ALL),
+e AS (SELECT *, CAST(sum(size) OVER (PARTITION BY sheet_id ORDER BY at_) - size AS BIGINT) AS start FROM z),
+q AS (SELECT o_orderkey // 100 AS sheet_id, o_orderkey AS point, o_custkey * 3 % 9000 AS x FROM orders)
+SELECT q.sheet_id, q.point, q.x, e.at_ AS at, q.x - e.start AS inside FROM q ASOF LEFT JOIN e ON q.sheet_id = e.sheet_id AND q.x >= e.start""",
         "fn_csv_name": "SELECT p_partkey, p_partkey % 5 IN (0, 1) AS delimited FROM part",
         "src_delimited": "SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS line, l_linestatus AS status, l_returnflag AS flag FROM lineitem",
         "fn_markdown_escape": """SELECT doc_id, CASE WHEN text IN ('<', '^', '<^', '^<') THEN ''

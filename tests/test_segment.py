@@ -68,3 +68,14 @@ def test_numerals_and_markers(spark):
     assert [r[0] for r in df.select(C.cjk_number(df.n)).collect()] == ["零", "十", "零一百一", "零二千二十五", "負五", "一万", "一億一"]
     df = spark.createDataFrame([("^<",), ("a|b\r\nc",), (None,)], "v string")
     assert [r[0] for r in df.select(C.markdown_escape(df.v)).collect()] == ["", "a\\|b<br>c", ""]
+
+
+def test_places_of_drawings(spark):
+    from gridloom.operators.geometry import located, nearest_shown
+
+    points = spark.createDataFrame([(1, x) for x in (0, 3, 4, 9)] + [(2, 5)], "sheet_id long, x long")
+    got = {(r.sheet_id, r.x): r.near for r in nearest_shown(points, spark.createDataFrame([(1, 2), (1, 6)], "sheet_id long, at long")).collect()}
+    assert got == {(1, 0): 2, (1, 3): 2, (1, 4): 2, (1, 9): 6, (2, 5): None}
+    sizes = spark.createDataFrame([(1, 0, 10), (1, 1, 0), (1, 2, 5)], "sheet_id long, at long, size long")
+    points = spark.createDataFrame([(1, i, x) for i, x in enumerate((0, 9, 10, 99))], "sheet_id long, point long, x long")
+    assert sorted((r.x, r["at"], r.inside) for r in located(points, sizes).collect()) == [(0, 0, 0), (9, 0, 9), (10, 2, 0), (99, 2, 89)]
