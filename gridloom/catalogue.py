@@ -13,6 +13,7 @@ from gridloom.operators import merges as M
 from gridloom.operators import segment as S
 from gridloom.operators import visible as V
 from gridloom.plans import documents as D
+from gridloom.plans.layout import ONE_PASS, Strategy
 from gridloom.sources import all_regions, delimited, whole_grid
 
 
@@ -164,9 +165,9 @@ def fn_csv_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", C.is_csv_name(name).alias("delimited"))
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _documents(spark: SparkSession, sf_dir: str, strategy: str | Strategy = "balanced") -> DataFrame:
     merges = all_regions(spark, sf_dir)
-    return D.sheet_documents(M.merged_grid(whole_grid(spark, sf_dir), merges), merges)
+    return D.sheet_documents(M.merged_grid(whole_grid(spark, sf_dir), merges), merges, strategy)
 
 
 def doc_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,13 +182,17 @@ def doc_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("sheet_id", D.rendered(F.col("document"), "markdown").alias("markdown"))
 
 
+def doc_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir, ONE_PASS).select("sheet_id", D.rendered(F.col("document")).alias("json"))
+
+
 def queries() -> dict:
     own = (
         seg_row_bands, seg_column_stripes, seg_three_level, seg_graph, seg_graph_apart, seg_merge_clip, ord_deferred, seg_isolated_cells, grid_merged,
         hdr_single_row, hdr_merge_aware, fn_column_letters, fn_range_ref, fn_markdown_escape, fn_sanitize, fn_cjk_number, fn_sniff_delimiter,
         cls_title_like, lang_documents, src_delimited, grid_visible, grid_visible_merges, post_merge_summary, fn_number_text, fn_date_formats, fn_csv_name,
         img_nearest_shown, img_located,
-        doc_json, doc_row_objects, doc_markdown,
+        doc_json, doc_row_objects, doc_markdown, doc_one_pass,
     )
     return {f.__name__: f for f in own}
 

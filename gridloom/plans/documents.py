@@ -14,11 +14,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.layout import PRESETS, Headers, Strategy, document_of, grid_of, sheet_document, table_element, visible_grid
+from gridloom.plans.layout import PRESETS, Headers, Strategy, document_of, grid_of, sheet_document, table_element, with_images
 from gridloom.plans.render import to_json, to_markdown
 from gridloom.shipping import ship
 from gridloom.sources.delimited import parse_rows, sniffed
-from gridloom.sources.workbook import WorkbookError, read_sheets
+from gridloom.sources.drawings import Images
+from gridloom.sources.workbook import MOST_BYTES, WorkbookError, read_sheets
 
 FILE_COLUMNS = "file_name string, sheets int, language string, document string, error_kind string, error string"
 
@@ -38,12 +39,13 @@ def is_delimited(name: str | None) -> bool:
     return name is not None and name.rpartition(".")[2].lower() in ("csv", "tsv") and "." in name
 
 
-def workbook_document(content: bytes, file_name: str | None = None, strategy: str | Strategy = "balanced") -> dict:
+def workbook_document(content: bytes, file_name: str | None = None, strategy: str | Strategy = "balanced", images: Images = Images(), most_bytes: int = MOST_BYTES) -> dict:
     """The document of a file's bytes: delimited text by its name, else a workbook."""
     if is_delimited(file_name):
         return delimited_document(content, file_name)
     chosen = strategy_of(strategy)
-    return document_of(file_name, [sheet_document(i, s.name, visible_grid(s)[0], chosen) for i, s in enumerate(read_sheets(content))])
+    sheets = read_sheets(content, images.output != "skip", most_bytes)
+    return document_of(file_name, [sheet_document(i, s.name, with_images(s, images), chosen) for i, s in enumerate(sheets)])
 
 
 def delimited_document(content: bytes, file_name: str | None = None, delimiter: str | None = None, encoding: str = "utf-8", has_header: bool = True) -> dict:
@@ -55,9 +57,9 @@ def delimited_document(content: bytes, file_name: str | None = None, delimiter:
     return document_of(file_name, [{"sheetIndex": 0, "sheetName": name, "elements": [table], "mergeRegions": []}])
 
 
-def read_documents(spark: SparkSession, path: str, strategy: str | Strategy = "balanced", permissive: bool = True) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, strategy: str | Strategy = "balanced", permissive: bool = True, images: Images = Images(), most_bytes: int = MOST_BYTES) -> DataFrame:
     """file_name, sheets, language, document of every file below path. permissive: a file that can't be read has an error_kind
-    and an error instead; else it ends the query."""
+    and an error instead; else it ends the query. images: what pictures become; its describe runs in the tasks."""
     chosen = strategy_of(strategy)
     ship(spark)
 
@@ -66,7 +68,7 @@ def read_documents(spark: SparkSession, path: str, strategy: str | Strategy = "b
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 row: dict = dict.fromkeys(("sheets", "language", "document", "error_kind", "error"))
                 try:
-                    found = workbook_document(content.as_py(), name, chosen)
+                    found = workbook_document(content.as_py(), name, chosen, images, most_bytes)
                     row |= {"sheets": found["numberOfSheets"], "language": found["language"], "document": json.dumps(found, ensure_ascii=False)}
                 except WorkbookError as e:
                     if not permissive:

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 from gridloom.functions import BULLETS, MARKERS
 from gridloom.operators.graph import component_boxes, swept
 from gridloom.sources.cell_text import cell_text
+from gridloom.sources.drawings import Images, nearest, picture_file
 from gridloom.sources.workbook import Evaluator, RawSheet
 
 Rows = list[list[str]]
@@ -105,6 +106,31 @@ def visible_grid(sheet: RawSheet) -> tuple[Grid, list[int], list[int]]:
     return Grid([[covered.get((r, c)) or shown.get((r, c), "") for c in columns] for r in rows], regions), rows, columns
 
 
+def with_images(sheet: RawSheet, images: Images = Images()) -> Grid:
+    """The grid that a sheet shows, with the texts of shapes and then of pictures below the texts of the cells in their middle.
+
+    The first cell of a region stands for all of it, and the nearest shown row or column for a hidden one. What lies beyond
+    the grid is left out, and so are pictures that are linked or that can't be told as such."""
+    grid, rows, columns = visible_grid(sheet)
+    if images.output == "skip":
+        return grid
+    last, shapes, pictures = max(sheet.rows, default=0), [], []
+    for d in sheet.drawings:
+        r, c = d.anchor.centre(sheet.heights, sheet.widths, last)
+        r, c = next(((m[0], m[2]) for m in sheet.merges if m[0] <= r <= m[1] and m[2] <= c <= m[3]), (r, c))
+        at = nearest(r, rows), nearest(c, columns)
+        if None in at:
+            continue
+        if d.text is not None:
+            shapes += [(at, d.text)] if images.shapes else []
+        elif content := picture_file(d.mime, d.content):
+            pictures.append((at, (d.mime or "image/png", content)))
+    said = images.texts([p for _, p in pictures])
+    for (r, c), text in shapes + list(zip((at for at, _ in pictures), said, strict=False)):
+        grid.rows[r][c] = text if blank(grid.rows[r][c]) else f"{grid.rows[r][c]}\n{text}"
+    return grid
+
+
 # --- segmentation -------------------------------------------------------------------------------------------------------
 
 
@@ -119,34 +145,51 @@ def _runs(filled: list[bool], least: int) -> list[tuple[int, int]]:
     return out
 
 
-def by_gaps(grid: Grid, band_rows: int = 2, stripe_rows: int = 2, offsets: bool = True) -> list[Segment]:
-    """Bands of rows, stripes of columns in them, and segments of rows in these. A band keeps fewer than band_rows of the blank
-    rows behind it. Without offsets all start in column 0 and regions are cut by rows alone."""
+def _bands(grid: Grid, least: int) -> list[tuple[int, int]]:
+    """First and last row of the bands that blank rows separate. A band keeps fewer than least of the blank rows behind it."""
     full = [not empty(r) for r in grid.rows]
-    out, before = [], -1
-    for first, last in _runs(full, band_rows):
+    out = []
+    for first, last in _runs(full, least):
         blanks = next((k for k, x in enumerate(full[last + 1 :]) if x), len(full) - last - 1)
-        end = last + min(band_rows - 1, blanks)
-        band, lead = grid.rows[first : end + 1], True
-        used = [any(c < len(r) and not blank(r[c]) for r in band) for c in range(grid.columns)]
-        for c0, c1 in _runs(used, 1):
-            stripe, done = [r[c0 : c1 + 1] for r in band], 0
-            parts = _runs([not empty(r) for r in stripe], stripe_rows)
-            for k, (a, b) in enumerate(parts):
-                rest = (parts[k + 1][0] if k + 1 < len(parts) else len(stripe)) - b - 1
-                gap, stop = a - done, b + min(stripe_rows - 1, rest)
-                done = b + 1
-                if lead and gap == 0:
-                    gap = first - before - 1
-                lead = False
+        out.append((first, last + min(least - 1, blanks)))
+    return out
+
+
+def _stripes(band: Rows, columns: int) -> list[tuple[int, int]]:
+    return _runs([any(c < len(r) and not blank(r[c]) for r in band) for c in range(columns)], 1)
+
+
+def _parts(stripe: Rows, least: int) -> list[tuple[int, int, int]]:
+    """First row, last row and blank rows before the segments of a stripe."""
+    parts, done, out = _runs([not empty(r) for r in stripe], least), 0, []
+    for k, (a, b) in enumerate(parts):
+        rest = (parts[k + 1][0] if k + 1 < len(parts) else len(stripe)) - b - 1
+        out.append((a, b + min(least - 1, rest), a - done))
+        done = b + 1
+    return out
+
+
+def by_gaps(grid: Grid, band_rows: int = 2, stripe_rows: int = 2, offsets: bool = True) -> list[Segment]:
+    """Bands of rows, stripes of columns in them, and segments of rows in these. Without offsets all start in column 0 and
+    regions are cut by rows alone."""
+    out, before = [], -1
+    for first, end in _bands(grid, band_rows):
+        band = grid.rows[first : end + 1]
+        for c0, c1 in _stripes(band, grid.columns):
+            for k, (a, stop, gap) in enumerate(_parts([r[c0 : c1 + 1] for r in band], stripe_rows)):
                 part = grid.part(first + a, first + stop, c0, c1)
                 if not offsets:
                     part.merges = [(max(x, first + a) - first - a, min(y, first + stop) - first - a, u, v) for x, y, u, v in grid.merges if x <= first + stop and y >= first + a]
-                out.append(Segment(part, first + a, c0 if offsets else 0, gap))
+                out.append(Segment(part, first + a, c0 if offsets else 0, gap or (0 if k else first - before - 1)))
         before = end
     return out or ([Segment(grid)] if grid.rows else [])
 
 
+def by_gaps_alone(grid: Grid) -> list[Segment]:
+    """As by_gaps, without offsets."""
+    return by_gaps(grid, offsets=False)
+
+
 def by_graph(grid: Grid, merge_gap: int | None = 1) -> list[Segment]:
     """The boxes of connected cells, close ones joined by one sweep; gap: blank rows since the box before."""
     spans = [(r, a, b) for r, row in enumerate(grid.rows) for a, b in _runs([not blank(v) for v in row], 1)]
@@ -253,6 +296,36 @@ def with_placeholders(rows: Rows, name: str = "header_{}") -> Rows:
     return out
 
 
+def with_names(rows: Rows, name: str = "header_{}") -> Rows:
+    """As with_placeholders, for rows as wide as the widest; a column that has a text keeps its later blanks too."""
+    width, done, named = max(map(len, rows), default=0), set(), 0
+    out = [[*r, *[""] * (width - len(r))] for r in rows]
+    for row in out:
+        for c, v in enumerate(row):
+            if blank(v) and c not in done:
+                named += 1
+                row[c] = name.format(named)
+            done.add(c)
+    return out
+
+
+def plain_table(rows: Rows, merges: list[Region] = (), escape: bool = True) -> tuple[str, Rows, int]:
+    """Lines of a table, its header rows and the first one's place. The header is the first row with a text and the later rows of
+    regions that cross it; other blank rows are left out."""
+    width = max(map(len, rows), default=0)
+    if not width:
+        return ("*Empty table*\n" if rows else "*Empty sheet*\n"), [], 0
+    said = [[re.sub("\r\n|\n|\r", "<br>", v.replace("|", "\\|") if escape else v) for v in r] for r in rows]
+    start = next((i for i, r in enumerate(said) if not empty(r)), None)
+    if start is None:
+        head, places = [[f"Column {c + 1}" for c in range(width)]], set()
+    else:
+        places = {start} | {r for a, b, _, _ in merges if a < b and a <= start <= b for r in range(start, min(b, len(said) - 1) + 1)}
+        head = with_names([[*said[r], *[""] * (width - len(said[r]))] for r in sorted(places)], "empty header {}")
+    body = [[*r, *[""] * (width - len(r))] for i, r in enumerate(said) if i not in places and not empty(r)]
+    return "".join(f"| {' | '.join(r)} |\n" for r in head + body), head, start or 0
+
+
 # --- elements -----------------------------------------------------------------------------------------------------------
 
 
@@ -327,6 +400,43 @@ def deferred(blocks: list[Block]) -> list[Block]:
     return [b for b, x in zip(blocks, late, strict=True) if not x] + [b for b, x in zip(blocks, late, strict=True) if x]
 
 
+# --- one pass -------------------------------------------------------------------------------------------------------------
+
+
+def one_pass(grid: Grid) -> list[dict]:
+    """Elements of a grid, band by band.
+
+    A title waits for the next content of its stripe and comes before it as a heading, or at the stripe's end. Texts behind a
+    large gap, and whatever a title behind one leads, come last in their band. Headings and texts have no place."""
+    out = []
+    for first, end in _bands(grid, 2):
+        near, late = [], []
+        band = grid.rows[first : end + 1]
+        for c0, c1 in _stripes(band, grid.columns):
+            stripe, waiting = [r[c0 : c1 + 1] for r in band], []
+            for a, stop, gap in _parts(stripe, 2):
+                rows = stripe[a : stop + 1]
+                if title := detect_title(rows):
+                    waiting, rows, gap = [(title[0], gap)], title[1], 0
+                alone, rest = isolated(rows)
+                rest = trimmed(rest)
+                texts = [v for r in rest for v in r if not blank(v)]
+                for group in (alone, texts if len(texts) == 1 else []):
+                    to = late if max(gap, *(g for _, g in waiting), 0) >= DEFER else near
+                    for text in group:
+                        to += [text_element("heading", t, 0, 0) for t, _ in waiting] + [text_element("text", text.strip(), 0, 0)]
+                        waiting = []
+                if len(texts) > 1:
+                    to = late if waiting and max(gap, waiting[0][1]) >= DEFER else near
+                    count = len(plain_table(rest, grid.merges)[1])  # regions in the sheet's rows, the table's in its own
+                    to += [text_element("heading", t, 0, 0) for t, _ in waiting] + [table_element(rest, Headers(count=count), first + a, c0)]
+                    waiting = []
+            for text, gap in waiting:
+                (late if gap >= DEFER else near).append(text_element("heading", text, 0, 0))
+        out += near + late
+    return out
+
+
 # --- strategies ---------------------------------------------------------------------------------------------------------
 
 
@@ -347,6 +457,10 @@ PRESETS = {
 }
 
 
+#: These four stages together are laid out in one pass.
+ONE_PASS = Strategy(by_gaps_alone, single_row, classify, in_sequence)
+
+
 def with_spans(table: dict, merges: list[Region]) -> dict:
     """A table whose cells say how far the regions that lie in it reach. A cell takes the first region only."""
     height, width = len(table["rows"]), len(table["rows"][0]["cells"]) if table["rows"] else 0
@@ -367,8 +481,10 @@ def letters(column: int) -> str:
 
 def sheet_document(index: int, name: str, grid: Grid, strategy: Strategy) -> dict:
     """Elements and merged regions of a sheet. A sheet with cells but without elements is one table."""
-    blocks = [Block(s, strategy.element(s, strategy.headers(s))) for s in strategy.segment(grid)]
-    elements = [b.element for b in strategy.order(blocks)]
+    if strategy == ONE_PASS:
+        elements = one_pass(grid)
+    else:
+        elements = [b.element for b in strategy.order([Block(s, strategy.element(s, strategy.headers(s))) for s in strategy.segment(grid)])]
     if not elements and grid.rows:
         elements = [table_element(grid.rows, Headers(count=1), 0, 0)]
     elements = [with_spans(e, grid.merges) if e["type"] == "table" else e for e in elements]

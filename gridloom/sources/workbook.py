@@ -1,4 +1,4 @@
-"""Workbook files (zipped XML): sheets of cells, merged regions, hidden rows and columns and drawn-over ranges.
+"""Workbook files (zipped XML): sheets of cells, merged regions, hidden rows and columns, and what is drawn on them.
 
 A file is read by one task from its bytes: the format is an archive whose shared parts every sheet needs, so it can't be cut.
 """
@@ -8,9 +8,12 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from dataclasses import dataclass, field
+from functools import partial
 from xml.etree import ElementTree
 
+from gridloom.sources import drawings as G
 from gridloom.sources.cell_text import BUILT_IN, Cell
 
 # Fixed value: first bytes of the older container, which also holds encrypted files.
@@ -44,6 +47,9 @@ class RawSheet:
     hidden_rows: set[int] = field(default_factory=set)
     hidden_columns: set[int] = field(default_factory=set)
     drawn: list[tuple[int, int, int, int]] = field(default_factory=list)
+    drawings: list[G.Drawn] = field(default_factory=list)
+    heights: G.Places = field(default_factory=lambda: G.Places({}, G.row_length(G.USUAL_HEIGHT), G.MOST_ROWS))
+    widths: G.Places = field(default_factory=lambda: G.Places({}, G.column_length(G.USUAL_WIDTH), G.MOST_COLUMNS))
 
 
 def place(ref: str) -> tuple[int, int]:
@@ -58,7 +64,8 @@ def place(ref: str) -> tuple[int, int]:
 
 
 class _Archive:
-    def __init__(self, content: bytes) -> None:
+    def __init__(self, content: bytes, most_bytes: int = MOST_BYTES) -> None:
+        self.most = most_bytes
         if content.startswith(CONTAINER):
             names = content.decode("utf-16-le", "ignore") + content[1:].decode("utf-16-le", "ignore")
             if "EncryptedPackage" in names:
@@ -72,15 +79,36 @@ class _Archive:
         if len(self.names) > MOST_PARTS:
             raise TooLarge(f"more than {MOST_PARTS} parts")
 
+    def part(self, name: str) -> bytes | None:
+        """The bytes of a part, or None."""
+        if name not in self.names:
+            return None
+        if self.zip.getinfo(name).file_size > self.most:
+            raise TooLarge(f"{name} is beyond {self.most} bytes")
+        try:
+            return self.zip.read(name)
+        except (zipfile.BadZipFile, zlib.error) as e:
+            raise InvalidFormat(f"{name}: {e}") from e
+
+    def type_of(self, name: str) -> str | None:
+        """The type that the archive states for a part, else that of its name's end."""
+        ending, said = name.rpartition(".")[2].lower(), None
+        types = self.xml("[Content_Types].xml")
+        for e in types if types is not None else ():
+            if e.get("PartName", "").strip("/") == name:
+                return e.get("ContentType")
+            if e.tag == "Default" and e.get("Extension", "").lower() == ending:
+                said = e.get("ContentType")
+        return said or G.TYPES.get(ending)
+
     def xml(self, name: str) -> ElementTree.Element | None:
         """A part without its namespaces, or None."""
-        if name not in self.names:
+        content = self.part(name)
+        if content is None:
             return None
-        if self.zip.getinfo(name).file_size > MOST_BYTES:
-            raise TooLarge(f"{name} is beyond {MOST_BYTES} bytes")
         try:
-            root = ElementTree.fromstring(self.zip.read(name))
-        except (ElementTree.ParseError, zipfile.BadZipFile) as e:
+            root = ElementTree.fromstring(content)
+        except ElementTree.ParseError as e:
             raise InvalidFormat(f"{name}: {e}") from e
         for e in root.iter():
             e.tag = e.tag.rpartition("}")[2]
@@ -136,25 +164,23 @@ def _cell(e: ElementTree.Element, strings: list[str], formats: list[str]) -> Cel
     return out
 
 
-def _drawn(book: _Archive, part: str) -> list[tuple[int, int, int, int]]:
-    """Ranges under a sheet's drawings, by the cells of their corners."""
-    out = []
+def _draw(book: _Archive, part: str, sheet: RawSheet, pictures: bool) -> None:
+    """What is drawn on a sheet; pictures: with the bytes of pictures."""
+
+    def picture(source: dict[str, tuple[str, str]], key: str) -> tuple[str | None, bytes | None]:
+        target = source.get(key, ("", ""))[1]
+        return (book.type_of(target), book.part(target)) if pictures and target in book.names else (None, None)
+
     for kind, target in book.links(part).values():
-        root = book.xml(target) if kind == "drawing" else None
-        for anchor in root if root is not None else ():
-            ends = []
-            for side in ("from", "to"):
-                if (e := anchor.find(side)) is not None:
-                    ends.append((int(e.findtext("row", "0")), int(e.findtext("col", "0"))))
-            if ends:
-                (r0, c0), (r1, c1) = ends[0], ends[-1]
-                out.append((r0, max(r0, r1), c0, max(c0, c1)))
-    return out
+        if kind == "drawing" and (root := book.xml(target)) is not None:
+            anchors, found = G.drawn_of(root, partial(picture, book.links(target)))
+            sheet.drawn += [a.covered(sheet.heights, sheet.widths) for a in anchors]
+            sheet.drawings += found
 
 
-def read_sheets(content: bytes) -> list[RawSheet]:
-    """The sheets of a workbook's bytes."""
-    book = _Archive(content)
+def read_sheets(content: bytes, pictures: bool = False, most_bytes: int = MOST_BYTES) -> list[RawSheet]:
+    """The sheets of a workbook's bytes. pictures: with the bytes of pictures; most_bytes: what a part may hold when unpacked."""
+    book = _Archive(content, most_bytes)
     root = book.xml("xl/workbook.xml")
     if root is None:
         raise InvalidFormat("the archive holds no workbook")
@@ -167,9 +193,9 @@ def read_sheets(content: bytes) -> list[RawSheet]:
         sheet, body = RawSheet(entry.get("name", "")), book.xml(part)
         try:
             _fill(sheet, body, strings, formats)
+            _draw(book, part, sheet, pictures)
         except (ValueError, IndexError) as e:
             raise e if isinstance(e, WorkbookError) else InvalidFormat(f"{part}: {e}") from e
-        sheet.drawn = _drawn(book, part)
         out.append(sheet)
     return out
 
@@ -178,19 +204,28 @@ def _fill(sheet: RawSheet, body: ElementTree.Element | None, strings: list[str],
     if body is None:
         return
     yes = ("1", "true")
+    widths, heights = sheet.widths.own, {}
+    if (usual := body.find("sheetFormatPr")) is not None:
+        sheet.widths.usual = G.column_length(float(usual.get("baseColWidth", G.USUAL_WIDTH)))
+        sheet.heights.usual = G.row_length(float(usual.get("defaultRowHeight", G.USUAL_HEIGHT)))
     for col in body.iter("col"):
+        if col.get("width"):
+            widths |= dict.fromkeys(range(int(col.get("min", 1)) - 1, int(col.get("max", 1))), G.column_length(float(col.get("width", 1))))
         if col.get("hidden") in yes or float(col.get("width", 1)) == 0:
             sheet.hidden_columns.update(range(int(col.get("min", 1)) - 1, int(col.get("max", 1))))
     row = -1
     for r in body.iter("row"):
         row = int(r.get("r", row + 2)) - 1
         sheet.rows.add(row)
+        if r.get("ht"):
+            heights[row] = G.row_length(float(r.get("ht", 1)))
         if r.get("hidden") in yes or float(r.get("ht", 1)) == 0:
             sheet.hidden_rows.add(row)
         column = -1
         for c in r.iter("c"):
             column = place(c.get("r"))[1] if c.get("r") else column + 1
             sheet.cells[row, column] = _cell(c, strings, formats)
+    sheet.heights.own, sheet.widths.own = dict(sorted(heights.items())), dict(sorted(widths.items()))
     for m in body.iter("mergeCell"):
         first, _, last = m.get("ref", "").partition(":")
         (r0, c0), (r1, c1) = place(first), place(last or first)
