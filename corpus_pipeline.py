@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe import tokenized
-from gridloom.llm.common import free_name, materialise
+from gridloom.llm.common import Scratch, free_name
 from gridloom.llm.jaccard import one_of_each
 from gridloom.llm.mixing import OUTPUTS, in_mixed_order, mix
 from gridloom.llm.quality import fit_quality, score_quality
@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's table is deleted when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+    with Scratch(spark) as work:
+        for name, stage in STAGES[:-1]:
+            write = work.result if name == STAGES[-2][0] else work.keep
+            docs, before = write(stage(spark, docs, sf_dir), name), docs
+            work.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -52,22 +52,47 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Shuffle files go as soon as their query ends, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables of one operator in the shared folder. On leaving, those of keep() are deleted, those of result() stay."""
+    """Tables of one operator in the shared folder. On leaving, those of keep() are deleted, those of result() stay.
+
+    While it is open, the shuffle files of each query are deleted when it ends.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.tables = spark, shared_folder(spark), 0
+        self.paths: dict[DataFrame, str] = {}
 
     def __enter__(self) -> Scratch:
+        self.before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
         return self
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        if self.before is None:
+            self.spark.conf.unset(CLEANUP)
+        else:
+            self.spark.conf.set(CLEANUP, self.before)
+        self._delete(self.folder)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.tables += 1
-        return _written(df, f"{self.folder}/{self.tables}-{name}")
+        path = f"{self.folder}/{self.tables}-{name}"
+        out = _written(df, path)
+        self.paths[out] = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table of keep() that nothing reads any more; any other stays."""
+        if path := self.paths.pop(df, None):
+            self._delete(path)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:
         return _written(df, f"{self.folder}-{name}")

@@ -14,7 +14,8 @@ entries that the histogram of all sizes gives; pairs across the boundary meet on
 
 Lists are scanned in these steps, none of which gives all pairs of a list.
 1. Keys alone: which keys have two different sets. Each task sends at most the least and the largest set of a key for every
-   HELD entries, so a frequent key is aggregated before the only shuffle of all entries.
+   HELD entries, so a frequent key is aggregated before the only shuffle of all entries. That shuffle is the
+   largest on disk; it can be done in several parts of the key space.
 2. The sets with enough of those keys are read again, once for each different set. The lists with one first member are
    one group from here on, so a family that meets on many lists is scanned about once.
 3. Every member is compared to its group's first one. Components come from large-star and small-star steps over tables.
@@ -35,7 +36,7 @@ returns its three columns only; one_of_each returns all columns of its input, wh
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 from math import ceil, comb, exp
 from typing import NamedTuple
@@ -43,7 +44,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import Scratch, free_name, mix64, shingles, texts_of, tune, word_hashes
@@ -52,6 +53,9 @@ from gridloom.llm.common import Scratch, free_name, mix64, shingles, texts_of, t
 MOST_LIGHT = 40
 #: Hashed entries that a worker holds before it hands them on.
 HELD = 1 << 18
+#: Parts of the key space whose entries one_of_each shuffles one after the other; the texts are read once for each. Sets of a
+#: lower least similarity list more parts, and so need more disk for them.
+PASSES = 2
 #: The filter of shared keys that goes to all tasks: bits of a key and for each key, and most bits of all; with more keys it
 #: lets more through, and a join decides.
 KEY_BITS, ROOM, FILTER_BITS = 4, 32, 1 << 29
@@ -242,8 +246,8 @@ def set_rows(docs: DataFrame, width: int, key: str | None = None) -> DataFrame:
 class Join:
     """One join of the texts of docs. work holds its tables; rows: of set_rows."""
 
-    def __init__(self, docs: DataFrame, rows: DataFrame, width: int, percent: int, work: Scratch) -> None:
-        self.texts, self.width, self.percent, self.work = docs.select("text"), width, percent, work
+    def __init__(self, docs: DataFrame, rows: DataFrame, width: int, percent: int, work: Scratch, passes: int = 1) -> None:
+        self.texts, self.width, self.percent, self.work, self.passes = docs.select("text"), width, percent, work, passes
         limit = 100 * (MOST_LIGHT + 1) // percent
         known = rows.where("node is not null")
         few = known.where(F.col("n") <= limit).select("node", "n").distinct()
@@ -269,8 +273,8 @@ class Join:
     def __getstate__(self) -> dict:  # what the tasks need
         return {k: self.__dict__[k] for k in ("width", "percent", "light", "classes")}
 
-    def shared_keys(self) -> DataFrame:
-        """Keys with two different sets."""
+    def shared_keys(self, at: int = 0, passes: int = 1) -> DataFrame:
+        """Keys with two different sets, of those that are `at` modulo passes."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys: list[np.ndarray] = []
@@ -287,6 +291,8 @@ class Join:
 
             for own, sets in self._fresh(batches):
                 found, of = list_keys(sets, self.light, self.classes, self.percent)
+                here = found % np.uint64(passes) == np.uint64(at)
+                found, of = found[here], of[here]
                 keys.append(found)
                 names.append(np.array([int.from_bytes(x[:8], "big", signed=True) for x in own], np.int64)[of])
                 held += len(found)
@@ -341,7 +347,7 @@ class Join:
 
     def _read(self) -> None:
         """info: the different sets that share keys. groups: key, id, c of the members of all lists with one first member."""
-        keys = self.work.keep(self.shared_keys(), "keys")
+        keys = reduce(DataFrame.unionAll, [self.work.keep(self.shared_keys(at, self.passes), "keys") for at in range(self.passes)])
         n = keys.count()
         bits = min(FILTER_BITS, max(1 << 16, 1 << (ROOM * n - 1).bit_length()))
         at = F.array(*[F.shiftrightunsigned("key", 8 * k).bitwiseAND(F.lit(bits - 1)) for k in range(KEY_BITS)])
@@ -350,13 +356,16 @@ class Join:
         words = np.zeros(bits // 64, np.uint64)
         words[set_bits.column("w").to_numpy()] = set_bits.column("x").to_numpy().view(np.uint64)
         self.info = self.work.keep(self.listed(bits, words), "sets")
-        entries = self.work.keep(self.info.select("id", "need", F.explode("keys").alias("key")).join(keys, "key"), "entries")
+        entries = kept = self.work.keep(self.info.select("id", "need", F.explode("keys").alias("key")).join(keys, "key"), "entries")
         for _ in range(2):  # sets that are left with too few keys go, and the keys that are then left with one set
             shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
             entries = entries.join(shared, "key")
             enough = entries.groupBy("id").agg(F.count("*").alias("c"), F.min("need").alias("least")).where("c >= least").select("id")
-            entries = self.work.keep(entries.join(enough, "id"), "entries")
+            left = self.work.keep(entries.join(enough, "id"), "entries")
+            self.work.drop(kept)
+            entries = kept = left
         self.groups = self.grouped(entries)
+        self.work.drop(entries)
 
     def grouped(self, lists: DataFrame) -> DataFrame:
         """key (a list's first member), id, c (members): lists of several members, those with one first member together."""
@@ -513,12 +522,12 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
     return roots.unionAll(roots.select("root", "root").distinct().toDF("node", "root"))
 
 
-def rooted(docs: DataFrame, width: int, percent: int, key: str | None = None) -> DataFrame:
+def rooted(docs: DataFrame, width: int, percent: int, key: str | None = None, passes: int = 1) -> DataFrame:
     """doc_id, n, root (name of the component; none for empty sets) of every row, and its column key."""
     tune(docs.sparkSession)
     with Scratch(docs.sparkSession) as work:
         rows = work.keep(set_rows(docs, width, key), "rows")
-        roots = Join(docs, rows, width, percent, work).roots()
+        roots = Join(docs, rows, width, percent, work, passes).roots()
         own = [key] if key else []
         known = rows.where("node is not null").join(roots, "node", "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"), *own)
         empty = rows.where("node is null").select("doc_id", "n", F.col("node").alias("root"), *own)
@@ -545,15 +554,19 @@ def near_links(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component, by rows: that with the smallest doc_id (null is the largest, of repeated ids any
-    one row). Rows with empty sets stay. Rows are told apart by a number that is written down with them."""
-    key = free_name(docs, "row_key")
-    with Scratch(docs.sparkSession) as work:
-        keyed = work.result(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-        named = rooted(keyed, width, percent, key)
+    one row). Rows with empty sets stay. A row is known by its doc_id and a 64-bit hash of its text, of rows alike in both one
+    stays, so no copy of docs is written; it is read several times and has to give the same rows each time."""
+    key, id_, none, every, place = names = [free_name(docs, f"row_{c}") for c in ("key", "id", "none", "every", "place")]
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    named = rooted(keyed, width, percent, key, PASSES)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", F.col(key).alias("k")))
-    kept = named.where("root is not null").groupBy("root").agg(first.alias("x")).select(F.col("x.k").alias(key))
-    kept = kept.unionAll(named.where("root is null").select(key))
-    return keyed.join(kept, key, "left_semi").select(*docs.columns)
+    kept = named.where("root is not null").groupBy("root").agg(first.alias("x")).select("x.doc_id", F.col("x.k").alias(key), F.lit(False).alias(every))
+    kept = kept.unionAll(named.where("root is null").select("doc_id", key, F.lit(True)).distinct())
+    on = [id_, none, key]  # no nulls, so one shuffle by them serves the join and the window
+    row = {id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")), none: F.col("doc_id").isNull()}
+    rows = keyed.withColumns(row).join(kept.withColumns(row).drop("doc_id"), on)
+    rows = rows.withColumn(place, F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(0))))
+    return rows.where(F.col(every) | (F.col(place) == 1)).drop(*names)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
